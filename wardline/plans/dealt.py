@@ -89,7 +89,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per table, UTC day of the reference and kind."""
-    day = F.to_date(from_micros(F.col("at"))).alias("day")
+    day = F.date_format(from_micros(F.col("at")), "yyyy-MM-dd").alias("day")
     return _orphans(spark, d).groupBy("table_name", day, "kind").agg(F.count("*").alias("n"))
 
 
@@ -179,5 +179,5 @@ ORACLES = {
     "p4_found": f"{_KEPT} select kafka_offset from ranked where place > 1",
     "p4_once": f"{_KEPT} select kafka_offset, batch_id, id, domain, source, ingest_ts from ranked where place = 1",
     "p5_found": f"{_ORPHANS} select table_name, row_id, kind from found where kind is not null",
-    "p5_report": f"{_ORPHANS} select table_name, cast(found.at as date) as day, kind, count(*) as n from found where kind is not null group by all",
+    "p5_report": f"{_ORPHANS} select table_name, strftime(found.at, '%Y-%m-%d') as day, kind, count(*) as n from found where kind is not null group by all",
 }
