@@ -2,10 +2,13 @@
 
 Events and the versions of attributes are dealt to buckets by entity; each
 bucket is one embedded ASOF LEFT JOIN per kind of attribute, on versions ordered
-by when they became available. Entities with more events than a bucket should
-hold are dealt to several buckets by event, and their versions to each of these.
-Before that, versions of one entity and time are reduced to one by a fixed rule,
-and runs of versions with the same values to their first.
+by when they became available, each being the state until the next. Before that,
+versions of one entity and time are reduced to one by a fixed rule.
+
+An entity with more events than a bucket should hold is dealt to several buckets
+by event, and its versions to each of these. An entity with more versions than
+that is cut into slices of time: events and versions go to the slice of their
+time, and each slice also gets the last version before it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from wardline.scratch import shuffle_width
 
 ROWS_PER_BUCKET = 60_000
+VERSIONS_PER_SLICE = 100_000
 #: No more entities than this can be hot, so their list may be broadcast at any scale.
 MOST_HOT = 20_000
 _VERSION = "kind string, entity string, available long, v1 string, v2 long"
@@ -28,8 +32,7 @@ def versions(lookups: DataFrame, kind: str, entity: Column, available: Column, t
     """Availability-ordered versions of one kind: ``v1`` (text) and ``v2`` (number).
 
     Rows with a null entity or time are left out. Of several rows of one entity
-    and time the greatest (v1, v2) is kept, nulls last. A version that repeats
-    the values of the one before is dropped: the state is the same.
+    and time the greatest (v1, v2) is kept, nulls last.
     """
     rows = lookups.select(
         entity.alias("entity"),
@@ -38,8 +41,7 @@ def versions(lookups: DataFrame, kind: str, entity: Column, available: Column, t
         (F.lit(None) if number is None else number).cast("long").alias("v2"),
     ).where("entity is not null and available is not null")
     one = rows.groupBy("entity", "available").agg(F.max(F.struct("v1", "v2")).alias("v"))
-    before = F.lag("v").over(Window.partitionBy("entity").orderBy("available"))
-    return one.withColumn("_before", before).where("_before is null or not (_before <=> v)").select(F.lit(kind).alias("kind"), "entity", "available", "v.v1", "v.v2")
+    return one.select(F.lit(kind).alias("kind"), "entity", "available", "v.v1", "v.v2")
 
 
 def _bucket_join(kinds: list[str]):
@@ -66,30 +68,54 @@ def _bucket_join(kinds: list[str]):
     return join, ", ".join(f"{n} {'long' if t == pa.int64() else 'string' if t == pa.string() else 'boolean'}" for n, t in kind_of.items())
 
 
-def as_of(events: DataFrame, row_id: str, entity: Column, at: Column, kinds: Mapping[str, DataFrame]) -> DataFrame:
+def _slice(at: Column) -> Column:
+    """The slice of a time: how many of the entity's cuts are at or before it."""
+    return F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= at)))
+
+
+def _with_carry(known: DataFrame) -> DataFrame:
+    """Versions with their ``_slice``; each slice but an entity's first also gets the last version before it, per kind."""
+    own = known.withColumn("_slice", _slice(F.col("available")))
+    last = own.where("_cuts is not null").groupBy("kind", "entity", "_slice").agg(F.max_by(F.struct("available", "v1", "v2"), "available").alias("v"), F.max(F.size("_cuts")).alias("_n"))
+    every = last.groupBy("kind", "entity").agg(F.max("_n").alias("_n")).select("kind", "entity", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_slice"))
+    so_far = Window.partitionBy("kind", "entity").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 100 rows
+    carried = every.join(last.drop("_n"), ["kind", "entity", "_slice"], "left").withColumn("v", F.last("v", ignorenulls=True).over(so_far)).where("v is not null")
+    columns = ["kind", "entity", "available", "v1", "v2", "_slice"]
+    return own.select(columns).unionByName(carried.select("kind", "entity", "v.available", "v.v1", "v.v2", "_slice"))
+
+
+def as_of(
+    events: DataFrame, row_id: str, entity: Column, at: Column, kinds: Mapping[str, DataFrame], rows_per_bucket: int = ROWS_PER_BUCKET, versions_per_slice: int = VERSIONS_PER_SLICE
+) -> DataFrame:
     """Per event the values of the latest version of each kind available at its time.
 
     Columns: ``row_id`` and per kind ``<kind>_v1``, ``<kind>_v2``, ``<kind>_known``
     (whether there was any version). A version available at the very time counts.
     Events with a null entity or time are left out; ``row_id`` must be a whole
     number, unique and not null; other columns are not read. Entities without
-    versions come out with nothing known.
+    versions come out with nothing known; without events there are no rows. The
+    two sizes only choose the way, not the result.
     """
     spark = events.sparkSession
     rows = events.select(F.col(f"`{row_id}`").cast("long").alias("row"), entity.alias("entity"), at.alias("at")).where("entity is not null and at is not null")
-    total = events.count()
-    buckets = shuffle_width(spark, total, ROWS_PER_BUCKET)
-    limit = max(ROWS_PER_BUCKET // 4, -(-total // MOST_HOT))
-    hot = rows.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("entity", F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
-    hot = F.broadcast(hot)  # fewer than MOST_HOT rows: each stands for over total / MOST_HOT events
-    place = F.pmod(F.xxhash64("entity", "_salt"), F.lit(buckets)).cast("int").alias("bucket")
-    salted = rows.join(hot, "entity", "left").withColumn("_salt", F.pmod(F.xxhash64("row"), F.coalesce("_salts", F.lit(1))).cast("int"))
     known = None
     for name, df in kinds.items():
-        part = df.withColumn("kind", F.lit(name))
+        part = df.select(F.lit(name).alias("kind"), "entity", "available", "v1", "v2")
         known = part if known is None else known.unionByName(part)
-    spread = known.join(hot, "entity", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-    # a bucket may be named by several salts of one entity: its versions go there once
+    total = events.count()
+    buckets = shuffle_width(spark, total, rows_per_bucket)
+    limit = max(rows_per_bucket // 4, -(-total // MOST_HOT))
+    hot = rows.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("entity", F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+    hot = F.broadcast(hot)  # fewer than MOST_HOT rows: each stands for over total / MOST_HOT events
+    counted = known.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") > versions_per_slice)
+    crowded = counted.orderBy(F.col("_n").desc(), "entity").limit(MOST_HOT)  # the rest would be under total / MOST_HOT versions each
+    fractions = known.join(F.broadcast(crowded), "entity").groupBy("entity").agg(F.max("_n").alias("_n"), F.percentile_approx("available", [i / 100 for i in range(1, 100)], 1000).alias("_p"))
+    steps = F.greatest(F.lit(1), F.floor(F.lit(99) * versions_per_slice / F.col("_n")).cast("int"))
+    cuts = F.broadcast(fractions.select("entity", F.array_distinct(F.filter("_p", lambda x, i: i % steps == 0)).alias("_cuts")))
+    place = F.pmod(F.xxhash64("entity", "_slice", "_salt"), F.lit(buckets)).cast("int").alias("bucket")
+    salted = rows.join(hot, "entity", "left").join(cuts, "entity", "left").withColumns({"_salt": F.pmod(F.xxhash64("row"), F.coalesce("_salts", F.lit(1))).cast("int"), "_slice": _slice(F.col("at"))})
+    spread = _with_carry(known.join(cuts, "entity", "left")).join(hot, "entity", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    # several salts of one entity may fall into one bucket: its versions go there once
     dealt = spread.select(place, "kind", "entity", "available", "v1", "v2").distinct()
     join, schema = _bucket_join(list(kinds))
     left = salted.select(place, "row", "entity", "at").groupBy("bucket")

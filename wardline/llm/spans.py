@@ -32,7 +32,7 @@ from wardline.scratch import materialize
 
 SPAN, GRAM = 300, 150
 WIDTH = SPAN - GRAM + 1
-#: A signature of so many windows at most is paired up directly.
+#: A signature of so many representatives at most, with four times as many windows, is paired up directly.
 FEW = 64
 _MATCH = "a long, b long, start_a int, start_b int, chars int"
 
@@ -79,21 +79,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows() -> Iterator[tuple[list, list]]:
         for b in batches:
-            yield list(zip(b.column("doc").to_pylist(), b.column("hs").to_pylist())), b.column("text").to_pylist()
+            yield list(zip(*(b.column(k).to_pylist() for k in ("doc", "hs", "crowds")))), b.column("text").to_pylist()
 
     for keys, texts in batches_of(rows()):
-        out: tuple[list, ...] = ([], [], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [], [])
         for i, h, c, left, right in _compact(texts):
-            doc, wanted = keys[i]
-            shared = np.flatnonzero(np.isin(h.view(np.int64), np.asarray(wanted, dtype=np.int64)))
-            for k in shared.tolist():
+            doc, hs, crowds = keys[i]
+            crowded = dict(zip(hs, crowds))
+            signed = h.view(np.int64)
+            for k in np.flatnonzero(np.isin(signed, np.asarray(hs, dtype=np.int64))).tolist():
                 at = int(c[k])
                 start = max(int(left[k]), at - WIDTH + 1)
                 stop = min(int(right[k]), at + WIDTH - 1) + GRAM
-                for values, v in zip(out, (int(h[k].view(np.int64)), doc, start, at - start, texts[i][start:stop])):
+                for values, v in zip(out, (int(signed[k]), crowded[int(signed[k])], doc, start, at - start, texts[i][start:stop])):
                     values.append(v)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string())], ["h", "doc", "start", "back", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["h", "crowded", "doc", "start", "back", "piece"])
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -157,18 +158,20 @@ class SharedSpans:
         classes = heads.groupBy("t1", "t2").agg(F.min("doc").alias("rep"), F.count("*").alias("size")).where("size > 1")
         #: ``doc``, ``rep``, ``size`` of documents whose text (of SPAN characters or more) is in several documents.
         self.copies = heads.join(classes, ["t1", "t2"]).select("doc", "rep", "size")
-        shared = signatures.groupBy("h").agg(F.min("t1").alias("_least"), F.max("t1").alias("_most")).where("_least < _most").select("h")
-        wanted = signatures.join(shared, "h").groupBy("h", "t1").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("h").alias("hs"))
-        found = wanted.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "hs", "text").mapInArrow(_windows, "h long, doc long, start int, back int, piece string")
+        reps = signatures.groupBy("h", "t1").agg(F.min("doc").alias("doc"))
+        shared = reps.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h", (F.col("_n") > few).alias("crowded"))
+        wanted = reps.join(shared, "h").groupBy("doc").agg(F.collect_list("h").alias("hs"), F.collect_list("crowded").alias("crowds"))
+        found = wanted.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "hs", "crowds", "text").mapInArrow(_windows, "h long, crowded boolean, doc long, start int, back int, piece string")
         windows, _ = materialize(found, "windows")
-        counted = windows.groupBy("h").agg(F.count("*").alias("_n"))
-        few_h, many_h = counted.where(F.col("_n").between(2, few)).select("h"), counted.where(F.col("_n") > few).select("h")
-        groups = windows.join(few_h, "h").groupBy("h").agg(F.collect_list(F.struct("doc", "start", "back", "piece")).alias("members"))
-        direct = groups.select("members").mapInArrow(_pair_up, _MATCH)
+        # a signature may also come many times in a few texts; those are bounded by the texts
+        of_few = windows.where("not crowded")
+        again = of_few.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > 4 * few).select("h")
+        groups = of_few.join(again, "h", "left_anti").groupBy("h").agg(F.collect_list(F.struct("doc", "start", "back", "piece")).alias("members"))
+        direct = groups.where("size(members) > 1").select("members").mapInArrow(_pair_up, _MATCH)
         #: Matches between representatives; ``a`` < ``b``, each with the start and the length of a shared run.
         self.direct, _ = materialize(direct, "matches")
-        spans = windows.join(many_h, "h").select("doc", "start", "piece").mapInArrow(_spans_of_windows, "k1 long, k2 long, doc long, start int")
-        spans, _ = materialize(spans, "spans")
+        many = windows.where("crowded").unionByName(of_few.join(again, "h", "left_semi"))
+        spans, _ = materialize(many.select("doc", "start", "piece").mapInArrow(_spans_of_windows, "k1 long, k2 long, doc long, start int"), "spans")
         per_key = spans.groupBy("k1", "k2").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b"), F.count("*").alias("_n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(3), "doc")).alias("_x")).where("_a < _b")
         #: Spans of crowded windows that stand in several representatives.
         self.crowded = spans.join(per_key.select("k1", "k2"), ["k1", "k2"]).select("doc", "start")
@@ -202,9 +205,9 @@ class SharedSpans:
         sizes = self.copies.where("doc = rep").select("rep", "size")
         both = self.pairs.select(F.col("a").alias("doc"), F.col("b").alias("rep")).unionByName(self.pairs.select(F.col("b").alias("doc"), F.col("a").alias("rep")))
         links = both.join(sizes, "rep", "left").groupBy("doc").agg(F.sum(F.coalesce("size", F.lit(1))).alias("others"))
+        known = covered.join(links, "doc", "full").withColumnRenamed("doc", "rep")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).where("doc is not null")
-        named = rows.join(self.copies, "doc", "left").withColumn("rep", F.coalesce("rep", "doc"))
-        full = named.join(covered.withColumnRenamed("doc", "rep"), "rep", "left").join(links.withColumnRenamed("doc", "rep"), "rep", "left")
+        full = rows.join(self.copies, "doc", "left").withColumn("rep", F.coalesce("rep", "doc")).join(known, "rep", "left")
         return full.select(
             F.col("doc").alias("doc_id"),
             F.col("rep").alias("class_id"),

@@ -25,9 +25,8 @@ LARGE_PART = 0.001
 
 def star_edges(rows: DataFrame, entity: str, source: str) -> DataFrame:
     """Edges ``a`` > ``b`` from each entity of a source to the source's smallest entity."""
-    pairs = rows.select(F.col(entity).alias("a"), F.col(source).alias("_s")).where("a is not null and _s is not null").groupBy("a", "_s").agg(F.lit(1).alias("_one"))
-    centre = pairs.groupBy("_s").agg(F.min("a").alias("b"))
-    return pairs.join(centre, "_s").where("a <> b").select("a", "b").distinct()
+    pairs = rows.select(F.col(entity).alias("member"), F.col(source).alias("node")).where("member is not null and node is not null").distinct()
+    return _minima(pairs).where("member <> least").select(F.col("member").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _minima(clusters: DataFrame) -> DataFrame:
