@@ -15,7 +15,7 @@ the log, every chunk sends on one copy, and no shard gets more than that.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,9 @@ class QuotientTable:
             owner = self.owner[slot]
             taken = owner >= 0
             same = taken & (self.distance[slot] == away[todo]) & (self.rest_high[slot] == rest[todo]) & (self.rest_low[slot] == low[todo])
-            if texts is not None and same.any():
+            if texts is None:  # a rebuild: all stored words stand for different texts
+                same[:] = False
+            elif same.any():
                 hit = np.flatnonzero(same)
                 same[hit] = self.texts[owner[hit]] == texts[todo[hit]]
             away[todo[taken & ~same]] += 1
@@ -119,34 +121,37 @@ def _columns(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
     return high.view(np.uint64), low.view(np.uint64), ts, row, texts
 
 
-def _within_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(chunk: pa.Table) -> pa.RecordBatch:
     """Mark the copies that a chunk of the input can tell by itself."""
-    held: list[pa.RecordBatch] = []
-
-    def settle() -> pa.RecordBatch:
-        chunk = pa.Table.from_batches(held)
-        high, low, ts, row, texts = _columns(chunk)
-        high, low = permute(high, low)
-        order = np.lexsort((row, ts))
-        new = np.empty(len(order), dtype=bool)
-        new[order] = QuotientTable().insert(high[order], low[order], texts[order])
-        # a settled copy needs no shard: it travels alone, spread by its row id
-        shard = np.where(new, (high >> _U(33)).view(np.int64), (permute(row.view(np.uint64), row.view(np.uint64))[0] >> _U(33)).view(np.int64))
-        texts[~new] = None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(shard), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(ts), pa.array(row), pa.array(texts, pa.string()), pa.array(~new)],
-            ["shard", "high", "low", "ts", "row", "ident", "copy"],
-        )
-
-    rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= CHUNK_ROWS:
-            yield settle()
-            held, rows = [], 0
-    if rows:
-        yield settle()
+    high, low, ts, row, texts = _columns(chunk)
+    high, low = permute(high, low)
+    order = np.lexsort((row, ts))
+    new = np.empty(len(order), dtype=bool)
+    new[order] = QuotientTable().insert(high[order], low[order], texts[order])
+    # a settled copy needs no shard: it travels alone, spread by its row id
+    apart = permute(row.view(np.uint64), row.view(np.uint64))[0]
+    shard = (np.where(new, high, apart) >> _U(33)).view(np.int64)
+    texts[~new] = None
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(ts), pa.array(row), pa.array(texts, pa.string()), pa.array(~new)],
+        ["shard", "high", "low", "ts", "row", "ident", "copy"],
+    )
+
+
+def _within_chunks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                yield _settle(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if rows:
+            yield _settle(pa.Table.from_batches(held))
+
+    return run
 
 
 def _within_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +172,14 @@ def identifier(id_: Column, host: Column) -> Column:
     return F.when(i != "", F.concat(F.length(i).cast("string"), F.lit(":"), i, F.coalesce(clean_host(host), F.lit(""))))
 
 
-def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival: str = "ingest_ts", row_id: str = "kafka_offset") -> DataFrame:
+def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival: str = "ingest_ts", row_id: str = "kafka_offset", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Row ids of every copy but the kept one, in a column named as ``row_id``.
 
     Messages with the same trimmed id and the same cleaned host (null counts as
     empty) are one message; a null or empty id makes a message of its own. Kept
     is the earliest arrival, then the lowest row id; an arrival of null counts as
     the latest. ``row_id`` must be unique and not null. An empty log has no
-    copies; further columns are not read.
+    copies; further columns are not read. ``chunk_rows`` only bounds memory.
     """
     spark = df.sparkSession
     ident = identifier(F.col(f"`{id_col}`"), F.col(f"`{host_col}`"))
@@ -184,7 +189,7 @@ def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival:
         F.col(f"`{row_id}`").cast("long").alias("row"),
     ).where("ident is not null")
     words = rows.select(F.xxhash64("ident").alias("high"), F.xxhash64(F.lit(7), "ident").alias("low"), "ts", "row", "ident")
-    chunked = words.mapInArrow(_within_chunks, "shard long, high long, low long, ts long, row long, ident string, copy boolean")
+    chunked = words.mapInArrow(_within_chunks(chunk_rows), "shard long, high long, low long, ts long, row long, ident string, copy boolean")
     shards = shuffle_width(spark, df.count(), ROWS_PER_SHARD)
     found = chunked.repartition(shards, "shard").sortWithinPartitions("ts", "row").mapInArrow(_within_shard, "row long")
     return found.select(F.col("row").alias(row_id))

@@ -10,7 +10,7 @@ split, that is as many entries as splits and no more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,14 +80,17 @@ class Accumulators:
             yield from pa.Table.from_arrays([pa.array(self.codes, pa.string()), *(pa.array(getattr(self, k)[:size]) for k in _SCHEMA.names[1:])], schema=_SCHEMA).to_batches(max_chunksize=20_000)
 
 
-def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    acc = Accumulators()
-    for batch in batches:
-        acc.add_rows(batch.column("key"), batch.column("value").to_numpy(zero_copy_only=False), batch.column("units").to_numpy(zero_copy_only=False))
-        if len(acc.codes) >= DICTIONARY_KEYS:
-            yield from acc.give()
-            acc = Accumulators()
-    yield from acc.give()
+def _splits(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = Accumulators()
+        for batch in batches:
+            acc.add_rows(batch.column("key"), batch.column("value").to_numpy(zero_copy_only=False), batch.column("units").to_numpy(zero_copy_only=False))
+            if len(acc.codes) >= most:
+                yield from acc.give()
+                acc = Accumulators()
+        yield from acc.give()
+
+    return run
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,18 +100,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from acc.give()
 
 
-def per_key(df: DataFrame, key: Column, value: Column | None = None, scale: int = 1_000_000) -> DataFrame:
+def per_key(df: DataFrame, key: Column, value: Column | None = None, scale: int = 1_000_000, dictionary_keys: int = DICTIONARY_KEYS) -> DataFrame:
     """Per key: rows ``n``, rows with a value ``n_valued``, their ``total``, ``least`` and ``most``.
 
     Null is a key like any other. Values that are null or NaN only count in
     ``n``; a key without values has null as total, least and most. The total adds
     values rounded to ``1/scale``, in whole numbers, so that it is the same in
-    every order. An empty table has no keys.
+    every order. An empty table has no keys. ``dictionary_keys`` only bounds a
+    split's memory.
     """
     v = (F.lit(None) if value is None else value).cast("double")
     v = F.coalesce(v, F.lit(float("nan")))
     rows = df.select(key.cast("string").alias("key"), v.alias("value"), F.when(F.isnan(v), 0).otherwise(F.round(v * scale)).cast("long").alias("units"))
-    parts = rows.mapInArrow(_splits, _PARTS)
+    parts = rows.mapInArrow(_splits(dictionary_keys), _PARTS)
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sums = parts.repartition(width, F.xxhash64("key")).mapInArrow(_blocks, _PARTS)
     some = F.col("n_valued") > 0

@@ -24,7 +24,8 @@ def route(df: DataFrame, event: Column, arrival: Column, period: int = PERIOD, l
 
     ``on_time``: in the period's first result; ``corrects``: changes it later;
     ``rejected``: beyond the cut-off. Records without a usable time are left out:
-    nobody can tell their period. Early records are on time.
+    nobody can tell their period. Early records are on time. Columns that already
+    have one of the three names are replaced.
     """
     start = event - F.pmod(event, F.lit(period))
     timed = df.withColumns({"period_start": start, "arrived": arrival}).where("period_start is not null and arrived is not null")

@@ -34,17 +34,16 @@ def parent_intervals(key: Column, created: Column, parents: DataFrame, gone_key:
 def orphans(refs: DataFrame, intervals: DataFrame) -> DataFrame:
     """References whose target doesn't hold, with ``kind``; the columns of ``refs`` stay.
 
-    ``refs`` has ``key`` and ``at`` (microseconds) beside what is to be kept. A
-    null key refers to nothing and is no orphan. ``missing``: no such parent was
-    ever known; ``deleted``: only the log of deletions knows it; ``late``: it was
-    created after the reference. A creation or reference time of null counts as
-    in time.
+    ``refs`` has ``key`` and ``at`` (microseconds) beside what is to be kept; a
+    column of its own named ``kind`` is replaced. A null key refers to nothing and
+    is no orphan. ``missing``: no such parent was ever known; ``deleted``: only the
+    log of deletions knows it; ``late``: it was created after the reference. A
+    creation or reference time of null counts as in time. Without parents all keys
+    are missing; without references there are no rows.
     """
+    kept = [c for c in refs.columns if c != "kind"]
+    inner = refs.where("key is not null").select("key", "at", F.struct(*kept).alias("ref"))
     parents = intervals.select(F.col("key").alias("_key"), "valid_from", "valid_to")
-    merged = refs.where("key is not null").join(parents.hint("merge"), F.col("key") == F.col("_key"), "left")
-    kind = (
-        F.when(F.col("_key").isNull(), "missing")
-        .when(F.col("valid_to") != FOREVER, "deleted")
-        .when(F.col("valid_from") > F.col("at"), "late")
-    )
-    return merged.withColumn("kind", kind).where("kind is not null").drop("_key", "valid_from", "valid_to")
+    merged = inner.join(parents.hint("merge"), F.col("key") == F.col("_key"), "left")
+    kind = F.when(F.col("_key").isNull(), "missing").when(F.col("valid_to") != FOREVER, "deleted").when(F.col("valid_from") > F.col("at"), "late")
+    return merged.select("ref.*", kind.alias("kind")).where("kind is not null")
