@@ -51,11 +51,11 @@ def _parts(text: str) -> Iterator[str]:
 
 
 def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """The rows with ``tokens`` in place of the text; 0 for null and empty texts.
+    """The rows with ``tokens`` in place of the text; 0 for null and empty texts. A column of that name is replaced.
 
     ``tokenizer`` is a vocabulary file that every executor can read.
     """
-    rest = [f for f in docs.schema.fields if f.name != text]
+    rest = [f for f in docs.schema.fields if f.name not in (text, "tokens")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "tokens long"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def draw(docs: DataFrame, planned: DataFrame, seed: int = 17) -> DataFrame:
     """``doc_id``, ``source``, ``tokens``, ``copies`` of each document that is drawn at least once."""
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") / float(2**53)
     whole = F.floor("repeats").cast("int")
-    rows = docs.join(F.broadcast(planned.select("source", "repeats")), "source")  # at most MOST_SOURCES rows
+    rows = docs.select("doc_id", "source", "tokens").join(F.broadcast(planned.select("source", "repeats")), "source")  # at most MOST_SOURCES rows
     return rows.select("doc_id", "source", "tokens", (whole + F.when(u < F.col("repeats") - whole, 1).otherwise(0)).alias("copies")).where("copies > 0")
 
 
