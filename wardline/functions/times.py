@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
-_ISO = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?([Zz]|[+-]\d{2}(:?\d{2})?)?$"
-_OFFSET = r"([Zz]|[+-]\d{2}(:?\d{2})?)$"
+_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}(:?\d{2})?)?$"
 
 
 def micros(df: DataFrame, name: str) -> Column:
@@ -29,15 +28,19 @@ def text_micros(c: Column) -> Column:
     Usable are ISO date and time (UTC where no offset is written) and epoch
     numbers of 13 digits (ms) or 10 digits (s); the calendar time must exist.
     """
-    t = F.btrim(c, F.lit(" \t\n\r\f\x0b"))
-    iso = F.regexp_replace(F.upper(t), r"\s?([+-]\d{2}):?(\d{2})?$", "$1:$2")
-    iso = F.when(iso.endswith(":"), F.concat(iso, F.lit("00"))).otherwise(iso)
-    iso = F.when(t.rlike(_OFFSET) & t.rlike(r"\d:\d{2}.*" + _OFFSET), iso).otherwise(F.concat(F.upper(t), F.lit("Z")))
-    iso = F.regexp_replace(iso, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2")
+    t = F.upper(F.btrim(c, F.lit(" \t\n\r\f\x0b")))
+    # the usual spellings come first and cost no further pattern
+    full = (
+        F.when(t.endswith("Z") | t.rlike(r"[+-]\d{2}:\d{2}$"), t)
+        .when(t.rlike(r"[+-]\d{4}$") & t.contains(":"), F.regexp_replace(t, r"\s?([+-]\d{2})(\d{2})$", "$1:$2"))
+        .when(t.rlike(r":\d{2}.*[+-]\d{2}$"), F.concat(t, F.lit(":00")))
+        .otherwise(F.concat(t, F.lit("Z")))
+    )
+    with_seconds = F.when(t.rlike(r"^.{10}[T ]\d{2}:\d{2}([Z +-]|$)"), F.regexp_replace(full, r"^(.{10}[T ]\d{2}:\d{2})\s?(Z|[+-])", "$1:00$2")).otherwise(full)
     return (
-        F.when(t.rlike(r"^\d{13}$"), t.try_cast("long") * 1000)
+        F.when(t.rlike(_ISO), F.unix_micros(with_seconds.try_cast("timestamp")))
+        .when(t.rlike(r"^\d{13}$"), t.try_cast("long") * 1000)
         .when(t.rlike(r"^\d{10}$"), t.try_cast("long") * 1_000_000)
-        .when(t.rlike(_ISO), F.unix_micros(iso.try_cast("timestamp")))
     )
 
 

@@ -27,8 +27,11 @@ def route(df: DataFrame, event: Column, arrival: Column, period: int = PERIOD, l
     nobody can tell their period. Early records are on time. Columns that already
     have one of the three names are replaced.
     """
-    start = event - F.pmod(event, F.lit(period))
-    timed = df.withColumns({"period_start": start, "arrived": arrival}).where("period_start is not null and arrived is not null")
+    # a generator computes both times once; conditions on them would otherwise be pushed
+    # below the projection and parse the texts again and again
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("period_start", "arrived", "outcome")]
+    timed = df.select(*kept, F.inline(F.array(F.struct(event.alias("period_start"), arrival.alias("arrived"))))).where("period_start is not null and arrived is not null")
+    timed = timed.withColumn("period_start", F.col("period_start") - F.pmod("period_start", F.lit(period)))
     behind = F.col("arrived") - (F.col("period_start") + period)
     return timed.withColumn("outcome", F.when(behind <= lateness, "on_time").when(behind <= cutoff, "corrects").otherwise("rejected"))
 
