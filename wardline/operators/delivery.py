@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from wardline.functions.hosts import clean_host, trimmed
 from wardline.functions.times import micros
 from wardline.scratch import shuffle_width
+from wardline.shipping import ship
 
 CHUNK_ROWS = 200_000
 ROWS_PER_SHARD = 400_000
@@ -182,6 +183,7 @@ def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival:
     copies; further columns are not read. ``chunk_rows`` only bounds memory.
     """
     spark = df.sparkSession
+    ship(spark)
     ident = identifier(F.col(f"`{id_col}`"), F.col(f"`{host_col}`"))
     rows = df.select(
         ident.alias("ident"),

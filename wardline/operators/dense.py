@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.shipping import ship
+
 #: A split gives its arrays on when its dictionary has so many keys, and starts anew.
 DICTIONARY_KEYS = 500_000
 _PARTS = "key string, n long, n_valued long, total long, least double, most double"
@@ -109,6 +111,7 @@ def per_key(df: DataFrame, key: Column, value: Column | None = None, scale: int
     every order. An empty table has no keys. ``dictionary_keys`` only bounds a
     split's memory.
     """
+    ship(df.sparkSession)
     v = (F.lit(None) if value is None else value).cast("double")
     v = F.coalesce(v, F.lit(float("nan")))
     rows = df.select(key.cast("string").alias("key"), v.alias("value"), F.when(F.isnan(v), 0).otherwise(F.round(v * scale)).cast("long").alias("units"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardline.functions.hosts import clean_host, is_host, last_label, trimmed
 from wardline.functions.text import url_host
 from wardline.schemas import CERTIFICATE, EVENT, SILVER, conform, first_present
+from wardline.shipping import ship
 
 
 def read_tolerant(spark: SparkSession, path: str) -> DataFrame:
@@ -236,4 +237,5 @@ def look_up(df: DataFrame, key: str, fetcher: Callable[[str], str | None], per_s
                     bad += 1
             yield pd.DataFrame(rows, columns=[key, "answer", "outcome"])
 
+    ship(df.sparkSession)
     return df.select(key).where(F.col(key).isNotNull()).distinct().mapInPandas(run, f"`{key}` string, answer string, outcome string")
