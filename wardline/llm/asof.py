@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.scratch import shuffle_width
+from wardline.shipping import ship
 
 ROWS_PER_BUCKET = 60_000
 VERSIONS_PER_SLICE = 100_000
@@ -97,6 +98,7 @@ def as_of(
     two sizes only choose the way, not the result.
     """
     spark = events.sparkSession
+    ship(spark)
     rows = events.select(F.col(f"`{row_id}`").cast("long").alias("row"), entity.alias("entity"), at.alias("at")).where("entity is not null and at is not null")
     known = None
     for name, df in kinds.items():

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm import windows as K
 from wardline.scratch import materialize
+from wardline.shipping import ship
 
 GRAM, SHARED_WORDS = 5, 12
 WINDOW = SHARED_WORDS - GRAM + 1
@@ -133,6 +134,7 @@ def leaks(docs: DataFrame, items: DataFrame, most_shipped: int = MOST_SHIPPED) -
     give no rows; other columns are not read. Repeated documents each count.
     """
     spark = docs.sparkSession
+    ship(spark)
     docs, items = _prepared(docs, items)
     words = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0
     if words * 2 / (WINDOW + 1) > most_shipped:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.shipping import ship
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary splits text before merging, a fixed value of its format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,6 +66,7 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER
             n = [sum(len(encoder.encode_ordinary(p)) for p in _parts(t)) if t else 0 for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in rest), pa.array(n, pa.int64())], [*(f.name for f in rest), "tokens"])
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(count, schema)
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from wardline.llm import windows as K
 from wardline.llm.leakage import batches_of
 from wardline.scratch import materialize
+from wardline.shipping import ship
 
 SPAN, GRAM = 300, 150
 WIDTH = SPAN - GRAM + 1
@@ -152,6 +153,7 @@ class SharedSpans:
     """What the parts of one search give: classes of equal texts and matches between their representatives."""
 
     def __init__(self, docs: DataFrame, few: int = FEW) -> None:
+        ship(docs.sparkSession)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= SPAN))
         signatures, _ = materialize(texts.mapInArrow(_signatures, "h long, t1 long, doc long, t2 long"), "signatures")
         heads = signatures.where("t2 is not null").select("t1", "t2", "doc")
