@@ -3,10 +3,10 @@ import os
 import pytest
 
 from tests.oracle import connect, same
-from wardline.plans import analytics, campaigns, dealt, names
+from wardline.plans import analytics, campaigns, dealt, names, pipeline
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = (dealt, names, analytics, campaigns)
+MODULES = (dealt, names, analytics, campaigns, pipeline)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
@@ -33,3 +33,19 @@ def test_crc_buckets(spark):
 
     for r in names.crc_buckets(spark, FOLDER).collect():
         assert r["bucket"] == zlib.crc32(r["host"].encode()) % 10000 and r["sampled"] == (r["bucket"] < 1000)
+
+
+def test_weights_estimate_all_hosts(spark):
+    got = pipeline.weighted_background(spark, FOLDER, 0.5)
+    total = got.selectExpr("sum(weight)").first()[0]
+    hosts = spark.read.parquet(f"{FOLDER}/stream_ct.parquet").selectExpr("lower(trim(domain)) as h").distinct().count()
+    assert 0.7 * hosts < total < 1.3 * hosts and {r["weight"] for r in got.collect()} <= {1.0, 2.0}
+
+
+def test_questions(spark):
+    top = pipeline.ask(spark, FOLDER, "Show me the riskiest domains!").collect()
+    assert 0 < len(top) <= 5 and top == sorted(top, key=lambda r: -r["risk_score"])
+    assert pipeline.ask(spark, FOLDER, "why is myfiroritifo.qz risky?").count() <= 1
+    assert pipeline.ask(spark, FOLDER, "campaigns against hekadopay").count() <= 10
+    assert pipeline.ask(spark, FOLDER, "drop table x; --") is None
+    assert pipeline.ask(spark, FOLDER, "x" * 600 + " top domains") is None
