@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from wardline.operators import merging, ranking
+from wardline.operators import merging, ranking, reviews
 
 
 def test_upsert_policies_and_null_keys(spark):
@@ -59,3 +59,20 @@ def test_precision(spark):
     df = spark.createDataFrame([(1, 0.9, 1), (2, 0.9, None), (3, 0.5, 1), (4, float("nan"), 1), (5, None, 1)], "k int, s double, y int")
     got = {r["k"]: (r["n_evaluated"], r["n_hits"]) for r in ranking.precision_at(df, "s", F.col("y") > 0, "k", (1, 2, 10)).collect()}
     assert got == {1: (1, 1), 2: (2, 1), 10: (3, 2)}
+
+
+def test_update_where(spark):
+    df = spark.createDataFrame([(1, True), (2, True), (None, True)], "k int, active boolean")
+    assert [r["active"] for r in merging.update_where(df, F.col("k") == 1, {"active": F.lit(False)}).collect()] == [False, True, True]
+
+
+def test_reviews(spark):
+    day = 86_400_000_000
+    d = spark.createDataFrame([(1, 1, "suppressed", 5 * day), (2, 1, "confirmed", 6 * day), (3, 2, "benign", day), (4, 3, "confirmed", 0), (5, None, "benign", 0)], "id long, cluster_id long, verdict string, created_at long")
+    c = spark.createDataFrame([(1, 4 * day), (2, 0), (3, day), (4, 0)], "id long, created_at long")
+    assert {(r["cluster_id"], r["verdict"]) for r in reviews.current_verdicts(d).collect()} == {(1, "confirmed"), (2, "benign"), (3, "confirmed")}
+    assert tuple(reviews.confirmation_rate(d).first()) == (3, 2, 0.6667, "low")
+    assert tuple(reviews.confirmation_rate(d.where("false")).first()) == (0, 0, None, "none")
+    assert tuple(reviews.median_hours_to_review(c, d).first()) == (3, 24.0)
+    assert tuple(reviews.per_day(c, 5 * day).first()) == (4, 0.8)
+    assert reviews.per_day(c.where("false"), 5 * day).first()["n_in_window"] == 0

@@ -176,3 +176,32 @@ def test_look_up_stops_after_failures(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got.count("error: down") == 3 and got.count("skipped") == 9
+
+
+def test_bookmarks(spark, tmp_path):
+    path = str(tmp_path / "bookmark.json")
+    df = spark.createDataFrame([("2026-08-03 10:00:00",), ("2026-08-03 11:00:00",), (None,)], "t string").selectExpr("cast(t as timestamp) as t")
+    assert sinks.bookmark(spark, path) is None
+    sinks.advance_bookmark(df, "t", path)
+    assert sinks.bookmark(spark, path) == "2026-08-03 11:00:00"
+    assert sinks.advance_bookmark(df.where("false"), "t", path) is None and sinks.bookmark(spark, path) == "2026-08-03 11:00:00"
+    assert feeds.read_since(df, "t", sinks.bookmark(spark, path)).count() == 0 and feeds.read_since(df, "t", "2026-08-03 10:30:00").count() == 1
+
+
+def test_scratch_tables_are_purged(spark):
+    from wardline.scratch import materialize, purge
+
+    _, path = materialize(spark.range(2), "kept")
+    now = 4_102_444_800_000
+    assert path.rsplit("/", 1)[1] in purge(spark, 1, now) and purge(spark, 1, now) == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from wardline.__main__ import main
+
+    assert main([]) == 2 and "p4_found" in capsys.readouterr().out
+    import os
+
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert main(["p4_found", "/root/testdata/sf0.001", str(tmp_path / "out")]) == 0
+        assert spark.read.parquet(str(tmp_path / "out")).columns == ["kafka_offset"]

@@ -25,6 +25,16 @@ def test_ingest_routes_and_deduplicates(spark, tmp_path):
     assert not os.path.exists(f"{dead}/_spark_metadata") and not os.path.exists(f"{check}/dead")
 
 
+def test_outbox_replay(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    (box / "a.jsonl").write_text('{"id":"1","domain":"a.test","event_ts":"2026-08-03T10:00:00Z"}\n{"id":"1","domain":"a.test","event_ts":"2026-08-03T10:00:00Z"}\n{bad\n')
+    out, dead, check = (str(tmp_path / x) for x in ("out", "dead", "check"))
+    for q in ingest.ingest(ingest.outbox(spark, str(box), 1), out, dead, check, {"availableNow": True}):
+        q.awaitTermination(120)
+    assert [r["id"] for r in spark.read.parquet(out).collect()] == ["1"] and spark.read.parquet(dead).count() == 1
+
+
 def test_backoff():
     wait, seen = 0.0, []
     for _ in range(7):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +41,12 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
+def update_where(df: DataFrame, condition: Column, changes: Mapping[str, Column]) -> DataFrame:
+    """The rows with some columns set where a condition holds (null doesn't), such as a soft delete."""
+    holds = F.coalesce(condition, F.lit(False))
+    return df.withColumns({c: F.when(holds, v).otherwise(F.col(c)) for c, v in changes.items()})
+
+
 def fresh_lookup(rows: DataFrame, cache: DataFrame, key: str, fetched: Column, now: int, ttl: int) -> DataFrame:
     """``rows`` with all cache rows of their key younger than ``ttl``; ``hit`` tells them from misses and expired ones.
 

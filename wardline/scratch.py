@@ -42,3 +42,17 @@ def discard(spark: SparkSession, path: str) -> None:
 def shuffle_width(spark: SparkSession, rows: int, per_task: int) -> int:
     """Tasks for a shuffle of ``rows``: the session's setting, or more so that no task gets over ``per_task`` on average."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+def purge(spark: SparkSession, older_than_hours: float, now_ms: int) -> list[str]:
+    """Delete this package's intermediate tables in the shared folder that are older; returns their names.
+
+    They stay after a query, since nobody knows when its result is last read; run this between jobs.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in (fs.listStatus(root) if fs.exists(root) else []) if x.getPath().getName().startswith("wardline-") and now_ms - x.getModificationTime() > older_than_hours * 3_600_000]
+    for p in old:
+        fs.delete(p, True)
+    return sorted(p.getName() for p in old)

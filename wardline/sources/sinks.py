@@ -32,6 +32,20 @@ def write_file(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} could not be replaced")
 
 
+def advance_bookmark(df: DataFrame, column: str, path: str) -> str | None:
+    """Write the greatest value of a column as the next bookmark; without rows the old one stays."""
+    newest = df.agg(F.max(F.col(column).cast("string"))).first()[0]
+    if newest is not None:
+        write_file(df.sparkSession, path, json.dumps({"column": column, "value": newest}))
+    return newest
+
+
+def bookmark(spark: SparkSession, path: str) -> str | None:
+    """The last bookmark, or none."""
+    _, p, fs = _fs(spark, path)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])["value"] if fs.exists(p) else None
+
+
 def append_by_day(df: DataFrame, path: str, day: str = "ds") -> None:
     """K1: append to a table partitioned by day."""
     df.write.mode("append").partitionBy(day).parquet(path)

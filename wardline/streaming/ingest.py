@@ -28,6 +28,14 @@ def configure(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+def outbox(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """K6, ST6: replay of events dropped as files of JSON lines, oldest first; repeats are for ``deduplicated`` to absorb."""
+    reader = spark.readStream.option("latestFirst", False)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.text(path).withColumn("ingest_ts", F.current_timestamp())
+
+
 def deduplicated(events: DataFrame, within: str = "10 minutes") -> DataFrame:
     """ST1-ST2, ST6: valid events once per id within the watermark; state is bounded by it.
 
