@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.hosts import clean_host, digits, folded, is_missing, present, present_host
+from wardline.functions.hosts import digits, folded, present, present_host
 from wardline.functions.times import from_micros, micros
 from wardline.llm import asof, leakage, mixture, spans, splits, topn
 from wardline.plans.dealt import fold_sql, host_sql, missing_sql
