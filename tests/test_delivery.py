@@ -61,17 +61,18 @@ def test_separator_cannot_be_forged(spark):
 
 def test_quotient_table_is_exact():
     rng = np.random.default_rng(3)
-    table, seen = delivery.QuotientTable(4), set()
+    table, seen = delivery.QuotientTable(4), {}
     for _ in range(20):
         n = int(rng.integers(1, 400))
         # few distinct words, so that different texts collide on all 128 bits
         high = rng.integers(0, 40, n).astype(np.uint64) << np.uint64(40)
         low = rng.integers(0, 2, n).astype(np.uint64)
         texts = np.array([f"{h}-{x}-{rng.integers(3)}" for h, x in zip(high, low)], dtype=object)
-        new = table.insert(high, low, texts)
-        for t, fresh in zip(texts, new):
+        rows = rng.integers(0, 1 << 40, n)
+        new, first = table.insert(high, low, texts, rows)
+        for t, fresh, row, brought in zip(texts, new, rows, first):
             assert fresh == (t not in seen)
-            seen.add(t)
+            assert brought == seen.setdefault(t, row)
     assert table.count == len(seen)
 
 
@@ -87,3 +88,14 @@ def test_long_text(spark, long):
 
     t = dt.datetime(2026, 8, 1)
     assert [r[0] for r in delivery.copies(rows_of(spark, [(1, "i", long, t), (2, "i", long, t), (3, "i", long + "y", t)])).collect()] == [2]
+
+
+def test_repeated_rows_and_missing_row_ids(spark):
+    import datetime as dt
+
+    t = dt.datetime(2026, 8, 1)
+    data = [(1, "i", "a", t), (1, "i", "a", t), (2, "i", "a", t), (2, "i", "a", t), (None, "i", "a", t), (None, "j", None, None)]
+    df = rows_of(spark, data).repartition(3)
+    for size in (1, 200_000):
+        assert {r[0] for r in delivery.copies(df, chunk_rows=size).collect()} == {2}
+        assert sorted(str(r["kafka_offset"]) for r in delivery.deliver_once(df).collect()) == ["1", "1", "None", "None"]

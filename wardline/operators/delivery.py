@@ -51,6 +51,7 @@ class QuotientTable:
         self.texts = np.empty(1 << bits, dtype=object)
         self.count = 0
         self._words = np.empty((2, 1 << bits), dtype=np.uint64)
+        self._rows = np.empty(1 << bits, dtype=np.int64)
         self._clear(bits)
 
     def _clear(self, bits: int) -> None:
@@ -62,11 +63,11 @@ class QuotientTable:
         self.rest_low = np.zeros(size, dtype=np.uint64)
 
     def _place(self, high: np.ndarray, low: np.ndarray, texts: np.ndarray | None, number: np.ndarray) -> np.ndarray:
-        """Insert words in order; ``number`` is where each one's text lies. True where it was new."""
+        """Insert words in order; ``number`` is where each one's text lies. Gives the number under which each now stands."""
         slots, shift = (1 << self.bits) - 1, _U(64 - self.bits)
         home = (high >> shift).astype(np.int64)
         rest = high & _U((1 << (64 - self.bits)) - 1)
-        new = np.zeros(len(high), dtype=bool)
+        stands = np.full(len(high), -1, dtype=np.int64)
         away = np.zeros(len(high), dtype=np.int32)
         todo = np.arange(len(high))
         while len(todo):
@@ -79,6 +80,7 @@ class QuotientTable:
             elif same.any():
                 hit = np.flatnonzero(same)
                 same[hit] = self.texts[owner[hit]] == texts[todo[hit]]
+            stands[todo[same]] = owner[same]
             away[todo[taken & ~same]] += 1
             open_ = np.flatnonzero(~taken)
             at, first = np.unique(slot[open_], return_index=True)
@@ -87,22 +89,24 @@ class QuotientTable:
             self.distance[at] = away[won]
             self.rest_high[at] = rest[won]
             self.rest_low[at] = low[won]
-            new[won] = True
-            todo = todo[~same & ~new[todo]]
-        return new
+            stands[won] = number[won]
+            todo = todo[stands[todo] < 0]
+        return stands
 
-    def insert(self, high: np.ndarray, low: np.ndarray, texts: np.ndarray) -> np.ndarray:
-        """Insert identifiers in order; True for each that was not yet there."""
+    def insert(self, high: np.ndarray, low: np.ndarray, texts: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Insert identifiers in order: which were not yet there, and the row that first brought each."""
         need = self.count + len(high)
         if need * 2 > 1 << self.bits:
             self._clear(max(self.bits + 1, int(need * 2 - 1).bit_length()))
             self.texts = np.concatenate([self.texts[: self.count], np.empty((1 << self.bits) - self.count, dtype=object)])
             self._words = np.concatenate([self._words[:, : self.count], np.empty((2, (1 << self.bits) - self.count), dtype=np.uint64)], axis=1)
+            self._rows = np.concatenate([self._rows[: self.count], np.empty((1 << self.bits) - self.count, dtype=np.int64)])
             self._place(*self._words[:, : self.count], None, np.arange(self.count))
         # numbers go out before it is known which words are new, and are packed afterwards
         number = np.arange(self.count, need)
         self.texts[self.count : need] = texts
-        new = self._place(high, low, texts, number)
+        stands = self._place(high, low, texts, number)
+        new = stands == number
         kept = np.flatnonzero(new)
         packed = self.count + np.arange(len(kept))
         back = np.full(len(high), -1, dtype=np.int64)
@@ -112,8 +116,12 @@ class QuotientTable:
         self.texts[packed] = texts[kept]
         self.texts[self.count + len(kept) : need] = None
         self._words[0, packed], self._words[1, packed] = high[kept], low[kept]
+        if rows is not None:
+            self._rows[packed] = rows[kept]
         self.count += len(kept)
-        return new
+        late = stands >= self.count - len(kept)
+        stands[late] = back[stands[late] - (need - len(high))]
+        return new, self._rows[stands]
 
 
 def _columns(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
@@ -127,8 +135,10 @@ def _settle(chunk: pa.Table) -> pa.RecordBatch:
     high, low, ts, row, texts = _columns(chunk)
     high, low = permute(high, low)
     order = np.lexsort((row, ts))
-    new = np.empty(len(order), dtype=bool)
-    new[order] = QuotientTable().insert(high[order], low[order], texts[order])
+    new, first = np.empty(len(order), dtype=bool), np.empty(len(order), dtype=np.int64)
+    new[order], first[order] = QuotientTable().insert(high[order], low[order], texts[order], row[order])
+    apart_from_repeats = new | (first != row)  # a row that comes again is no copy of itself
+    high, low, ts, row, texts, new = (x[apart_from_repeats] for x in (high, low, ts, row, texts, new))
     # a settled copy needs no shard: it travels alone, spread by its row id
     apart = permute(row.view(np.uint64), row.view(np.uint64))[0]
     shard = (np.where(new, high, apart) >> _U(33)).view(np.int64)
@@ -164,7 +174,8 @@ def _within_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rest = batch.filter(pa.array(~settled))
         if rest.num_rows:
             high, low, _, row, texts = _columns(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(row[~table.insert(high, low, texts)])], ["row"])
+            new, first = table.insert(high, low, texts, row)
+            yield pa.RecordBatch.from_arrays([pa.array(row[~new & (first != row)])], ["row"])
 
 
 def identifier(id_: Column, host: Column) -> Column:
@@ -179,8 +190,9 @@ def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival:
     Messages with the same trimmed id and the same cleaned host (null counts as
     empty) are one message; a null or empty id makes a message of its own. Kept
     is the earliest arrival, then the lowest row id; an arrival of null counts as
-    the latest. ``row_id`` must be unique and not null. An empty log has no
-    copies; further columns are not read. ``chunk_rows`` only bounds memory.
+    the latest. ``row_id`` must be unique: rows that repeat one are taken for the
+    same row and stay or go together; rows without one take no part and stay. An
+    empty log has no copies; further columns are not read. ``chunk_rows`` only bounds memory.
     """
     spark = df.sparkSession
     ship(spark)
@@ -189,7 +201,7 @@ def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival:
         ident.alias("ident"),
         F.coalesce(micros(df, arrival), F.lit(2**63 - 1)).alias("ts"),
         F.col(f"`{row_id}`").cast("long").alias("row"),
-    ).where("ident is not null")
+    ).where("ident is not null and row is not null")
     words = rows.select(F.xxhash64("ident").alias("high"), F.xxhash64(F.lit(7), "ident").alias("low"), "ts", "row", "ident")
     chunked = words.mapInArrow(_within_chunks(chunk_rows), "shard long, high long, low long, ts long, row long, ident string, copy boolean")
     shards = shuffle_width(spark, df.count(), ROWS_PER_SHARD)
