@@ -92,14 +92,14 @@ def as_of(
 
     Columns: ``row_id`` and per kind ``<kind>_v1``, ``<kind>_v2``, ``<kind>_known``
     (whether there was any version). A version available at the very time counts.
-    Events with a null entity or time are left out; ``row_id`` must be a whole
-    number, unique and not null; other columns are not read. Entities without
+    Events with a null id, entity or time are left out; ``row_id`` must be a whole
+    number, and an event that repeats one comes out again; other columns are not read. Entities without
     versions come out with nothing known; without events there are no rows. The
     two sizes only choose the way, not the result.
     """
     spark = events.sparkSession
     ship(spark)
-    rows = events.select(F.col(f"`{row_id}`").cast("long").alias("row"), entity.alias("entity"), at.alias("at")).where("entity is not null and at is not null")
+    rows = events.select(F.col(f"`{row_id}`").cast("long").alias("row"), entity.alias("entity"), at.alias("at")).where("row is not null and entity is not null and at is not null")
     known = None
     for name, df in kinds.items():
         part = df.select(F.lit(name).alias("kind"), "entity", "available", "v1", "v2")

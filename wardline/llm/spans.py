@@ -156,7 +156,7 @@ class SharedSpans:
         ship(docs.sparkSession)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= SPAN))
         signatures, _ = materialize(texts.mapInArrow(_signatures, "h long, t1 long, doc long, t2 long"), "signatures")
-        heads = signatures.where("t2 is not null").select("t1", "t2", "doc")
+        heads = signatures.where("t2 is not null").select("t1", "t2", "doc").distinct()
         classes = heads.groupBy("t1", "t2").agg(F.min("doc").alias("rep"), F.count("*").alias("size")).where("size > 1")
         #: ``doc``, ``rep``, ``size`` of documents whose text (of SPAN characters or more) is in several documents.
         self.copies = heads.join(classes, ["t1", "t2"]).select("doc", "rep", "size")
