@@ -47,4 +47,4 @@ def summary(ct: DataFrame, matched: DataFrame) -> DataFrame:
         F.percentile(F.when(ahead, F.col("lead_hours")), 0.9).alias("p90_hours_ahead"),
     )
     note = F.when(F.col("n_matched") == 0, "no matches").when(F.col("n_exact") == 0, "no exact matches").when(F.col("n_exact") < 30, "low").when(F.col("n_exact") < 200, "moderate").otherwise("reasonable")
-    return one.withColumn("n_hosts", F.lit(n_hosts)).select("n_hosts", "n_matched", "n_exact", "n_ahead", "n_ahead_exact", F.round(100.0 * F.col("n_matched") / F.nullif("n_hosts", F.lit(0)), 2).alias("coverage_pct"), F.round("median_hours_ahead", 4).alias("median_hours_ahead"), F.round("p90_hours_ahead", 4).alias("p90_hours_ahead"), note.alias("confidence"))
+    return one.withColumn("n_hosts", F.lit(n_hosts).cast("long")).select("n_hosts", "n_matched", "n_exact", "n_ahead", "n_ahead_exact", F.round(100.0 * F.col("n_matched") / F.nullif("n_hosts", F.lit(0)), 2).alias("coverage_pct"), F.round("median_hours_ahead", 4).alias("median_hours_ahead"), F.round("p90_hours_ahead", 4).alias("p90_hours_ahead"), note.alias("confidence"))

@@ -165,10 +165,10 @@ ORACLES = {
     "host_forms": f"""select kafka_offset, {host_sql("domain")} as host, replace(rtrim({fold_sql("domain")}, '.'), '*.', '') as host_no_wildcards,
       regexp_full_match(trim(domain, ' \t\n\r\f\x0b'), '[-A-Za-z0-9._*]+') as is_host,
       case when contains({host_sql("domain")}, '.') then regexp_extract({host_sql("domain")}, '[^.]*$') end as last_label from stream_ct""",
-    "host_statistics": f"""select host, length(host) as length, {_COUNT.format("host", "[0-9]")} as digits, {_COUNT.format("host", "-")} as hyphens, {_COUNT.format("host", "[.]")} as dots,
+    "host_statistics": f"""select host, length(host)::integer as length, {_COUNT.format("host", "[0-9]")}::integer as digits, {_COUNT.format("host", "-")}::integer as hyphens, {_COUNT.format("host", "[.]")}::integer as dots,
       round({_COUNT.format("host", "[0-9]")} / (length(host) + 1e-6), 6) as digit_ratio, round({_COUNT.format("host", "-")} / (length(host) + 1e-6), 6) as hyphen_ratio,
-      {_ENTROPY.format("host")} as entropy, contains(host, 'xn--')::integer as xn_punycode, {_COUNT.format("host", "[.]")} + 1 as labels,
-      length(regexp_extract(host, '[^.]*$')) as tld_len from {_HOSTS}""",
+      {_ENTROPY.format("host")} as entropy, contains(host, 'xn--')::integer as xn_punycode, ({_COUNT.format("host", "[.]")} + 1)::integer as labels,
+      length(regexp_extract(host, '[^.]*$'))::integer as tld_len from {_HOSTS}""",
     "host_flags": f"""select host, round((case when coalesce({_TLD}, '') in ('tk', 'top', 'xyz', 'icu', 'zz', 'qx') then 0.5 else 0.0 end)::double
         + (case when regexp_matches(host, '[0-9]{{4,}}') then 0.3 else 0.0 end)::double + (case when {_COUNT.format("host", "-")} >= 2 then 0.2 else 0.0 end)::double, 6) as baseline_score,
       array_to_string([f for f in [case when length(host) > 25 then 'long' end, case when {_ENTROPY.format("host")} > 3.8 then 'entropy' end, case when {_COUNT.format("host", "-")} > 1 then 'hyphens' end,
