@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.hosts import under
 from wardline.functions.text import collapse_homoglyphs, edit_budget, tokens
+from wardline.scratch import materialize
 
 
 #: Registrar rules are written by people, one at a time; more than this are refused.
@@ -75,7 +76,7 @@ def workflow(members: DataFrame, group: str, host: str, keywords: DataFrame) ->
     return members.select(group).distinct().join(best, group, "left").select(group, F.coalesce("workflow", F.lit("generic")).alias("workflow"))
 
 
-def membership_scores(members: DataFrame) -> DataFrame:
+def membership_scores(members: DataFrame, decimals: int = 4) -> DataFrame:
     """A score of how well each member fits its cluster's other members.
 
     ``members``: ``cluster_id``, ``observation_id`` (unique pairs), ``host``, ``at``
@@ -89,7 +90,7 @@ def membership_scores(members: DataFrame) -> DataFrame:
     pairwise step, which the definition asks for, is between distinct hosts of a
     cluster; its pairs are summed as they are met and never kept.
     """
-    m = members.select("cluster_id", "observation_id", "host", "at", F.lower("asn").alias("asn"), F.lower("registrar").alias("registrar"))
+    m, _ = materialize(members.select("cluster_id", "observation_id", "host", "at", F.lower("asn").alias("asn"), F.lower("registrar").alias("registrar")), "members")
     cluster = Window.partitionBy("cluster_id")
 
     def overlap(c: str) -> Column:
@@ -113,7 +114,7 @@ def membership_scores(members: DataFrame) -> DataFrame:
 
     full = burst.withColumns({"_burst": near, "_asn": overlap("asn"), "_registrar": overlap("registrar")}).join(sums, ["cluster_id", "host"], "left")
     score = F.lit(0.30) + 0.25 * F.col("_burst") + 0.20 * F.coalesce(lexical, F.lit(0.0)) + 0.15 * F.col("_asn") + 0.10 * F.col("_registrar")
-    return full.select("cluster_id", "observation_id", F.round(score, 4).alias("score"))
+    return full.select("cluster_id", "observation_id", F.round(score, decimals).alias("score"))
 
 
 def matching_rule(observations: DataFrame, rules: DataFrame, now: int) -> DataFrame:
