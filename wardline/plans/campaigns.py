@@ -70,7 +70,7 @@ def cluster_workflows(spark: SparkSession, d: str) -> DataFrame:
 def member_scores(spark: SparkSession, d: str) -> DataFrame:
     """How well each member fits its campaign."""
     rows = _members(spark, d).join(_observed(spark, d).withColumnRenamed("id", "observation_id"), "observation_id")
-    return campaigns.membership_scores(rows, decimals=8)
+    return campaigns.membership_scores(rows, decimals=11)
 
 
 def cluster_confidence(spark: SparkSession, d: str) -> DataFrame:
@@ -227,5 +227,5 @@ ORACLES = {
       s as (select cluster_id, observation_id, t, avg(case when host is not null and bh is not null then 1 - levenshtein(host, bh) / greatest(length(host), length(bh), 1) end) as lex,
         list(bt order by bt) filter (where bt is not null) as ts, avg((asn = ba)::integer) as sa, avg((reg = br)::integer) as sr from p group by 1, 2, 3)
       select cluster_id, observation_id, round(0.30::double + 0.25::double * case when t is null or coalesce(len(ts), 0) = 0 then 0.5 else greatest(0.0, 1.0 - least(abs(t - ts[len(ts) // 2 + 1]) / 3.6e9::double, 24.0) / 24.0) end
-        + 0.20::double * coalesce(lex, 0) + 0.15::double * coalesce(sa, 0) + 0.10::double * coalesce(sr, 0), 8) as score from s""",
+        + 0.20::double * coalesce(lex, 0) + 0.15::double * coalesce(sa, 0) + 0.10::double * coalesce(sr, 0), 11) as score from s""",
 }
