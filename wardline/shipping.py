@@ -15,11 +15,11 @@ _sent: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once per application.
 
-    Operators that run Python call this first, so that a cluster needs no
-    installation. In one process there is nothing to send.
+    Operators that run Python call this first, so that neither a cluster nor a
+    local session started from another folder needs an installation.
     """
     context = spark.sparkContext
-    if context.master == "local" or context.master.startswith("local[") or context.applicationId in _sent:
+    if context.applicationId in _sent:
         return
     home = os.path.dirname(os.path.abspath(__file__))
     packed = io.BytesIO()
