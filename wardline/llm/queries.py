@@ -199,4 +199,17 @@ ORACLES = {
       union all select id, 'whois_created' from known where whois_created is not null and whois_created is distinct from known_created
       union all select id, 'sample_asn' from known where sample_asn is not null and regexp_replace(sample_asn, '[^0-9]', '', 'g') is distinct from known_asn""",
     "p7_known": f"{_KNOWN} select id as observation_id, known_registrar as registrar, known_created as whois_created, known_asn as asn_digits, whois_known, geo_known from known",
+    "p8_found": """with d as (select doc_id as id, [lower(x) for x in regexp_extract_all(text, '[\\p{L}\\p{Nd}]+')] as w from documents),
+      i as (select item_id as id, [lower(x) for x in regexp_extract_all(text, '[\\p{L}\\p{Nd}]+')] as w from eval_items),
+      dg as (select id, unnest([array_to_string(w[k:k + 11], ' ') for k in range(1, len(w) - 10)]) as g from d where len(w) >= 12),
+      ig as (select distinct id, unnest([array_to_string(w[k:k + 11], ' ') for k in range(1, len(w) - 10)]) as g from i where len(w) >= 12)
+      select distinct dg.id as doc_id, ig.id as item_id from dg join ig using (g)""",
+    # any common way to count tokens gives the same cases; here words, digits and marks
+    "p9_found": f"""with t as (select {fold_sql("source")} as source, len(regexp_extract_all(text, '[a-zA-Z\u00c0-\u024f]+|[0-9]{{1,3}}|[^\\sa-zA-Z0-9\u00c0-\u024f]')) as n from documents),
+      per as (select source, sum(n) as n from t group by 1)
+      select source from (select {fold_sql("source")} as source, sum(target_share) as share, min(max_repeats) as cap from mix_targets group by 1) left join per using (source)
+      where coalesce(n, 0) * cap < share * (select sum(n) from t)""",
+    "p10_found": """with p as (select distinct doc_id, md5(substring(text, k, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as k from documents where length(text) >= 300)),
+      shared as (select * from p where h in (select h from p group by h having count(*) > 1))
+      select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from shared a join shared b on a.h = b.h and a.doc_id < b.doc_id""",
 }
