@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.scratch import shuffle_width
+from wardline.scratch import materialize, shuffle_width
 from wardline.shipping import ship
 
 ROWS_PER_BUCKET = 60_000
@@ -108,15 +108,30 @@ def as_of(
     buckets = shuffle_width(spark, total, rows_per_bucket)
     limit = max(rows_per_bucket // 4, -(-total // MOST_HOT))
     hot = rows.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("entity", F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
-    hot = F.broadcast(hot)  # fewer than MOST_HOT rows: each stands for over total / MOST_HOT events
+    hot_rows = [tuple(r) for r in hot.collect()]  # fewer than MOST_HOT: each stands for over total / MOST_HOT events
     counted = known.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") > versions_per_slice)
-    crowded = counted.orderBy(F.col("_n").desc(), "entity").limit(MOST_HOT)  # the rest would be under total / MOST_HOT versions each
-    fractions = known.join(F.broadcast(crowded), "entity").groupBy("entity").agg(F.max("_n").alias("_n"), F.percentile_approx("available", [i / 100 for i in range(1, 100)], 1000).alias("_p"))
-    steps = F.greatest(F.lit(1), F.floor(F.lit(99) * versions_per_slice / F.col("_n")).cast("int"))
-    cuts = F.broadcast(fractions.select("entity", F.array_distinct(F.filter("_p", lambda x, i: i % steps == 0)).alias("_cuts")))
+    # the rest, if any, would be under total / MOST_HOT versions each
+    crowded = [tuple(r) for r in counted.orderBy(F.col("_n").desc(), "entity").limit(MOST_HOT).collect()]
+
+    def with_salts(df: DataFrame) -> DataFrame:
+        if not hot_rows:
+            return df.withColumn("_salts", F.lit(1))
+        listed = F.broadcast(spark.createDataFrame(hot_rows, "entity string, _salts int"))
+        return df.join(listed, "entity", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
     place = F.pmod(F.xxhash64("entity", "_slice", "_salt"), F.lit(buckets)).cast("int").alias("bucket")
-    salted = rows.join(hot, "entity", "left").join(cuts, "entity", "left").withColumns({"_salt": F.pmod(F.xxhash64("row"), F.coalesce("_salts", F.lit(1))).cast("int"), "_slice": _slice(F.col("at"))})
-    spread = _with_carry(known.join(cuts, "entity", "left")).join(hot, "entity", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    if crowded:
+        listed = F.broadcast(spark.createDataFrame(crowded, "entity string, _n long"))
+        fractions = known.join(listed, "entity").groupBy("entity").agg(F.max("_n").alias("_n"), F.percentile_approx("available", [i / 100 for i in range(1, 100)], 1000).alias("_p"))
+        steps = F.greatest(F.lit(1), F.floor(F.lit(99) * versions_per_slice / F.col("_n")).cast("int"))
+        cuts, _ = materialize(fractions.select("entity", F.array_distinct(F.filter("_p", lambda x, i: i % steps == 0)).alias("_cuts")), "cuts")
+        cuts = F.broadcast(cuts)  # at most MOST_HOT rows of 99 cuts
+        sliced = rows.join(cuts, "entity", "left").withColumn("_slice", _slice(F.col("at"))).drop("_cuts")
+        known = _with_carry(known.join(cuts, "entity", "left"))
+    else:
+        sliced, known = rows.withColumn("_slice", F.lit(0)), known.withColumn("_slice", F.lit(0))
+    salted = with_salts(sliced).withColumn("_salt", F.pmod(F.xxhash64("row"), F.col("_salts")).cast("int"))
+    spread = with_salts(known).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     # several salts of one entity may fall into one bucket: its versions go there once
     dealt = spread.select(place, "kind", "entity", "available", "v1", "v2").distinct()
     join, schema = _bucket_join(list(kinds))
