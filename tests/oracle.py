@@ -24,7 +24,13 @@ def plain(df):
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
+def plan_of(spark_df):
+    return spark_df._jdf.queryExecution().executedPlan().toString()
+
+
 def same(spark_df, con, sql):
+    plan = plan_of(spark_df)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     ours, theirs = spark_df.toPandas(), con.sql(sql).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     pd.testing.assert_frame_equal(plain(ours), plain(theirs))

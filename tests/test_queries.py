@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from tests.oracle import connect, same
+from tests.oracle import connect, plan_of, same
 from wardline.plans import analytics, campaigns, dealt, names, pipeline
 
 FOLDER = "/root/testdata/sf0.001"
@@ -49,3 +49,26 @@ def test_questions(spark):
     assert pipeline.ask(spark, FOLDER, "campaigns against hekadopay").count() <= 10
     assert pipeline.ask(spark, FOLDER, "drop table x; --") is None
     assert pipeline.ask(spark, FOLDER, "x" * 600 + " top domains") is None
+
+
+def scans(df):
+    import re
+
+    return {tuple(sorted(x.split(":")[0] for x in m.split(","))) for m in re.findall(r"ReadSchema: struct<([^>]*)>", plan_of(df))}
+
+
+def test_scans_read_what_they_need(spark):
+    assert scans(QUERIES["p3_found"](spark, FOLDER)) == {("registered_domain",), ("target_brand",)}
+    assert scans(QUERIES["p4_found"](spark, FOLDER)) == {("domain", "id", "ingest_ts", "kafka_offset")}
+    assert ("assignee", "id", "updated_at") in scans(QUERIES["p5_found"](spark, FOLDER))
+    assert scans(QUERIES["times"](spark, FOLDER)) == {("event_ts", "kafka_offset", "producer_ts")}
+
+
+def test_filters_reach_the_scan(spark):
+    plan = plan_of(QUERIES["latest_threats"](spark, FOLDER))
+    assert "PushedFilters: [IsNotNull(risk_score), GreaterThan(risk_score,0.85)]" in plan.replace("EqualTo", "")
+
+
+def test_per_key_work_is_shuffled_once(spark):
+    assert plan_of(QUERIES["p3_domains"](spark, FOLDER)).count("Exchange") == 1
+    assert plan_of(QUERIES["p4_found"](spark, FOLDER)).count("Exchange") == 1

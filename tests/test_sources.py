@@ -205,3 +205,8 @@ def test_command_line(spark, tmp_path, capsys):
     if os.path.isdir("/root/testdata/sf0.001"):
         assert main(["p4_found", "/root/testdata/sf0.001", str(tmp_path / "out")]) == 0
         assert spark.read.parquet(str(tmp_path / "out")).columns == ["kafka_offset"]
+
+
+def test_kafka_rows(spark):
+    row = sinks.kafka_rows(spark.createDataFrame([("a.test", 1)], "domain string, n int")).first()
+    assert row["key"] == "a.test" and json.loads(row["value"]) == {"domain": "a.test", "n": 1}

@@ -66,6 +66,14 @@ def kafka(spark: SparkSession, servers: str, topic: str, starting: str = "latest
     return spark.readStream.format("kafka").options(**options).load()
 
 
+def database(spark: SparkSession, url: str, table: str, split_by: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, properties: dict[str, str] | None = None) -> DataFrame:
+    """A database table, read in ``parts`` ranges of a whole-number column; needs the database's driver."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **(properties or {}))
+    if split_by and bounds:
+        reader = reader.options(partitionColumn=split_by, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return reader.load()
+
+
 def spool(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of events; malformed lines are dropped."""
     return spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(path)
