@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from tests.oracle import connect, same
+from tests.oracle import connect, plan_of, same
 from wardline.llm import queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -39,3 +39,9 @@ def test_splits_keep_their_proportions(spark):
     total = spark.read.parquet(f"{FOLDER}/ct_observations.parquet").count()
     assert sum(got.values()) == total
     assert all(abs(got[k] / total - v) < 0.05 for k, v in queries.PROPORTIONS.items())
+
+
+def test_texts_are_one_pass(spark):
+    df = queries.p8_found(spark, FOLDER)
+    assert plan_of(df).count("Exchange") == 1 and plan_of(df).count("MapInArrow") == 1
+    assert "WindowGroupLimit" in plan_of(queries.p6_found(spark, FOLDER))
