@@ -14,7 +14,7 @@ def scratch_dir(spark: SparkSession) -> str:
     A machine-local folder is only made where the session names none and runs
     in one process; on a cluster without the setting this raises.
     """
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("wardline.scratch.dir", None)
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("wardline.scratch.dir", None)
     if known:
         return known
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
