@@ -45,3 +45,11 @@ def test_texts_are_one_pass(spark):
     df = queries.p8_found(spark, FOLDER)
     assert plan_of(df).count("Exchange") == 1 and plan_of(df).count("MapInArrow") == 1
     assert "WindowGroupLimit" in plan_of(queries.p6_found(spark, FOLDER))
+
+
+def test_shares_are_reported(spark):
+    rows = queries.p9_shares(spark, FOLDER).collect()
+    assert abs(sum(r["reached_share"] for r in rows) - 1) < 1e-9
+    assert all(r["most_copies"] <= r["max_repeats"] and (r["drawn_tokens"] > 0) == (r["repeats"] > 0) for r in rows if r["tokens"])
+    free = [r for r in rows if r["repeats"] and not r["clamped"]]
+    assert len({round(r["repeats"] * r["tokens"] / r["target_share"], 3) for r in free}) <= 1

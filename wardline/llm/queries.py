@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.hosts import digits, folded, present, present_host
@@ -138,9 +138,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     drawn, planned, total = _mixed(spark, d)
     got = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn"), F.max("copies").alias("most_copies"))
     rows = planned.join(got, "source", "left")
+    drawn_tokens = F.coalesce("drawn", F.lit(0))
+    mixed = F.sum(drawn_tokens).over(Window.partitionBy())  # one row per target source
     return rows.select(
-        "source", "tokens", "target_share", "max_repeats", "repeats", "clamped", F.coalesce("drawn", F.lit(0)).alias("drawn_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        (F.coalesce("drawn", F.lit(0)) / F.lit(float(max(total, 1)))).alias("share_of_corpus"),
+        "source", "tokens", "target_share", "max_repeats", "repeats", "clamped", drawn_tokens.alias("drawn_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        (drawn_tokens / F.greatest(mixed, F.lit(1))).alias("reached_share"), (drawn_tokens / F.lit(float(max(total, 1)))).alias("share_of_corpus"),
     )
 
 
