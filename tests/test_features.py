@@ -59,6 +59,9 @@ def test_fusion_thresholds_and_promotion(spark):
     assert X.promotion(good, None) == (True, "no champion") and X.promotion(good, good)[0]
     assert not X.promotion(good | {"n_neg": 0}, None)[0] and not X.promotion(good | {"roc_auc": float("nan")}, None)[0] and not X.promotion(good | {"roc_auc": 0.6}, None)[0]
     assert not X.promotion(good | {"roc_auc": 0.85}, good)[0] and not X.promotion(good | {"benign_fpr": 0.2}, good)[0]
+    log = spark.createDataFrame([(1, "yes", None), (2 * 3_600_000_000, "no", "worse")], "at long, promoted string, reason string")
+    assert X.gate_ran(log, "at", ["promoted", "reason"], 3 * 3_600_000_000, 2) == (True, "ok") and X.gate_ran(log, "at", ["promoted"], 9 * 3_600_000_000, 2) == (False, "too old")
+    assert X.gate_ran(log.where("at = 1"), "at", ["promoted", "reason"], 2, 2) == (False, "incomplete: reason") and X.gate_ran(log.where("false"), "at", [], 0, 1) == (False, "no entry")
     assert [X.gap_band(0.9, x) for x in (0.88, 0.8, 0.5)] == ["likely shortcut", "unclear", "content matters"]
 
 

@@ -31,6 +31,7 @@ def test_queue(spark):
     q = spark.createDataFrame([("a", "pending", 3, 0), ("b", "pending", 1, 0), ("c", "processing", 0, 2), ("d", "processing", 0, 0), ("e", "pending", 2, 0)], "k string, status string, t int, attempts int")
     claimed = {r["k"]: r["status"] for r in merging.claim_oldest(q, "status", "t", "k", 2).collect()}
     assert claimed == {"a": "pending", "b": "processing", "c": "processing", "d": "processing", "e": "processing"}
+    assert {(r["status"], r["n"], r["lag_seconds"]) for r in merging.queue_depth(q, "status", "t", 1_000_003).collect()} == {("pending", 3, 1.000002), ("processing", 2, 1.000003)}
     back = {r["k"]: (r["status"], r["attempts"]) for r in merging.requeue_failed(q, "status", "attempts").collect()}
     assert back["c"] == ("failed", 3) and back["d"] == ("pending", 1) and back["a"] == ("pending", 0)
 

@@ -192,3 +192,14 @@ def promotion(candidate: Mapping[str, object], champion: Mapping[str, object] |
     if isinstance(new_fpr, int | float) and isinstance(old_fpr, int | float) and new_fpr > old_fpr + most_fpr_gain:
         return False, "false positives regressed"
     return True, "not worse"
+
+
+def gate_ran(log: DataFrame, at: str, needed: Sequence[str], now: int, most_hours: float) -> tuple[bool, str]:
+    """Whether the promotion log's newest entry (time in microseconds) is complete and recent, and why not."""
+    row = log.where(F.col(at).isNotNull()).orderBy(F.col(at).desc()).limit(1).first()
+    if row is None:
+        return False, "no entry"
+    lacking = [k for k in needed if k not in row or row[k] is None]
+    if lacking:
+        return False, f"incomplete: {', '.join(lacking)}"
+    return (True, "ok") if now - row[at] <= most_hours * 3.6e9 else (False, "too old")

@@ -70,3 +70,9 @@ def requeue_failed(queue: DataFrame, status: str, attempts: str, most: int = 3)
     busy = F.col(status) == "processing"
     tried = F.col(attempts) + F.when(busy, 1).otherwise(0)
     return queue.select(*[c for c in queue.columns if c not in (status, attempts)], F.when(busy & (tried >= most), "failed").when(busy, "pending").otherwise(F.col(status)).alias(status), tried.alias(attempts))
+
+
+def queue_depth(queue: DataFrame, status: str, enqueued: str, now: int) -> DataFrame:
+    """Per status the items, the oldest enqueue time and its age in seconds; times in microseconds."""
+    per = queue.groupBy(status).agg(F.count("*").alias("n"), F.min(enqueued).alias("oldest"))
+    return per.select(status, "n", "oldest", ((F.lit(now) - F.col("oldest")) / F.lit(1e6)).alias("lag_seconds"))
