@@ -53,3 +53,13 @@ def test_shares_are_reported(spark):
     assert all(r["most_copies"] <= r["max_repeats"] and (r["drawn_tokens"] > 0) == (r["repeats"] > 0) for r in rows if r["tokens"])
     free = [r for r in rows if r["repeats"] and not r["clamped"]]
     assert len({round(r["repeats"] * r["tokens"] / r["target_share"], 3) for r in free}) <= 1
+
+
+def test_every_observation_has_its_known_attributes(spark, con):
+    rows = [tuple(r) for r in queries.p7_known(spark, FOLDER).select("observation_id", "registrar", "whois_created", "asn_digits", "whois_known", "geo_known").collect()]
+    every = [i for (i,) in con.sql("select id from ct_observations").fetchall()]
+    assert sorted(r[0] for r in rows) == sorted(every)
+    joined = {r[0]: r for r in con.sql(f"select observation_id, registrar, whois_created, asn_digits, whois_known, geo_known from ({queries.ORACLES['p7_known']})").fetchall()}
+    assert 0 < len(joined) < len(every)
+    assert {r[0]: r for r in rows if r[0] in joined} == joined
+    assert {r[1:] for r in rows if r[0] not in joined} == {(None, None, None, False, False)}

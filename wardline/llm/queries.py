@@ -88,8 +88,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_known(spark: SparkSession, d: str) -> DataFrame:
-    """Every observation with the attributes known at its event."""
+    """Every observation with the attributes known at its event; without a time or a domain nothing is known."""
     rows, known = _known(spark, d)
+    # those the as-of join leaves out are added back by its own condition, which needs no second shuffle of all rows
+    undated = rows.where(present_host(F.col("registered_domain")).isNull() | micros(rows, "event_ts").isNull())
+    nothing = [F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("whois_v1", "whois_v2", "geo_v1")]
+    known = known.unionByName(undated.select("id", *nothing, F.lit(False).alias("whois_known"), F.lit(False).alias("geo_known")), allowMissingColumns=True)
     return known.select(F.col("id").alias("observation_id"), F.col("whois_v1").alias("registrar"), from_micros(F.col("whois_v2")).alias("whois_created"), F.col("geo_v1").alias("asn_digits"), "whois_known", "geo_known")
 
 
