@@ -72,3 +72,12 @@ def test_filters_reach_the_scan(spark):
 def test_per_key_work_is_shuffled_once(spark):
     assert plan_of(QUERIES["p3_domains"](spark, FOLDER)).count("Exchange") == 1
     assert plan_of(QUERIES["p4_found"](spark, FOLDER)).count("Exchange") == 1
+
+
+def test_newest_domains_cuts_no_rows_off(spark, tmp_path):
+    rows = spark.range(25_000).selectExpr("id", "concat('d', id % 21000, '.test') as registered_domain", "timestamp_ntz'2026-08-01 00:00:00' + make_dt_interval(0, 0, 0, id) as created_at")
+    rows.write.parquet(str(tmp_path / "ct_observations.parquet"))
+    got = pipeline.newest_domains(spark, str(tmp_path)).collect()
+    assert {(r["domain"], r["id"]) for r in got} == {(f"d{i}.test", i) for i in range(21_000)} and len(got) == 21_000
+    since = pipeline.newest_domains(spark, str(tmp_path), "2026-08-01 05:49:59").collect()  # the row of id 20,999
+    assert {(r["domain"], r["id"]) for r in since} == {(f"d{i}.test", i + 21_000) for i in range(4000)}

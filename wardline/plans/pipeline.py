@@ -14,6 +14,7 @@ from wardline.plans.analytics import present_host_sql, present_sql
 from wardline.plans.campaigns import _BRANDS, _MEMBERS, OWN, WATCHED, _members, _observed
 from wardline.plans.dealt import _EPOCH, _TIMED
 from wardline.scratch import materialize
+from wardline.sources.feeds import read_since
 from wardline.streaming.ingest import CorrectedCounts
 from wardline.tables import table
 
@@ -27,11 +28,15 @@ def hot_path(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.col("score").desc(), "host", "kafka_offset").limit(HOT_ROWS)
 
 
-def newest_domains(spark: SparkSession, d: str) -> DataFrame:
-    """O2: of the newest rows by storing time, the earliest of each domain."""
-    rows = table(spark, d, "ct_observations").select("id", present_host(F.col("registered_domain")).alias("domain"), "created_at").where("domain is not null")
-    newest = rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(NEWEST_ROWS)
-    return merging.keep_first(newest, ["domain"], [F.col("created_at"), F.col("id")])
+def newest_domains(spark: SparkSession, d: str, since: str | None = None) -> DataFrame:
+    """O2: of the rows stored since the bookmark, without one of all rows, the earliest of each domain.
+
+    The reference stops at its newest 20,000 rows (CAP_ROWS) and moves its bookmark
+    past the others; here no row is cut off. The query's SQL still stops at ``NEWEST_ROWS``.
+    """
+    fresh = read_since(table(spark, d, "ct_observations"), "created_at", since)
+    rows = fresh.select("id", present_host(F.col("registered_domain")).alias("domain"), "created_at").where("domain is not null")
+    return merging.keep_first(rows, ["domain"], [F.col("created_at"), F.col("id")])
 
 
 def tier2_gate(spark: SparkSession, d: str) -> DataFrame:
