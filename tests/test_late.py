@@ -53,3 +53,20 @@ def test_stream_equals_replay(spark, tmp_path):
     assert {(r["source"], r["period_start"], r["n"], r["n_corrections"]) for r in counts.current().collect()} == want
     assert counts.rejected().count() == routed.where("outcome = 'rejected'").count() > 0
     assert counts.upserts().select("batch").distinct().count() == 4
+
+
+def test_last_upserts_of_retired_periods_are_whole(spark, tmp_path):
+    at = lambda h: (dt.datetime(2026, 8, 3) + dt.timedelta(hours=h)).isoformat() + "Z"
+    # the first two batches retire the first hour, the others deliver records of it that arrived within its cut-off
+    batches = [[("x", at(0), at(0)), ("x", at(0.5), at(0.6)), (None, at(0.2), at(3))], [("x", at(60), at(60))], [("x", at(0.1), at(20)), (None, at(0.1), at(0.2))], [("x", at(0.3), at(22)), ("y", at(0.3), at(1))]]
+    src = tmp_path / "in"
+    src.mkdir()
+    counts = CorrectedCounts(spark, str(tmp_path / "out"), ["source"])
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "source string, e string, a string").coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema("source string, e string, a string").parquet(str(src))
+        counts.start(stream, text_micros(F.col("e")), text_micros(F.col("a"))).awaitTermination(120)
+        assert counts.upserts().agg(F.max("batch")).first()[0] == i
+    last = {(r["source"], r["period_start"]): (r["n"], r["n_corrections"]) for r in sorted(counts.upserts().collect(), key=lambda r: r["batch"])}
+    assert last == {(r["source"], r["period_start"]): (r["n"], r["n_corrections"]) for r in counts.current().collect()}
+    assert sorted(last.values()) == [(1, 0), (1, 0), (2, 1), (4, 2)]

@@ -89,8 +89,8 @@ class CorrectedCounts:
     periods it touched are emitted as upserts. The watermark is the latest arrival
     seen: a period whose cut-off it has passed leaves the state for the table of
     final counts. A record within its cut-off that is delivered even later still
-    counts: it is added to the final count on reading. Records beyond the cut-off are
-    diverted. All that a batch writes is named by its number and replaced if the batch
+    counts: it is added to the final count on reading, and its upsert holds the sum.
+    Records beyond the cut-off are diverted. All that a batch writes is named by its number and replaced if the batch
     is repeated, so a restart counts nothing twice; the result equals
     ``operators.late.current`` over the same records, in any order and any batches.
     """
@@ -123,7 +123,15 @@ class CorrectedCounts:
             merged = self.spark.read.parquet(self._path("merged", number))
             watermark = merged.agg(F.max("seen")).first()[0]
             is_open = F.lit(True) if watermark is None else F.col("period_start") + late.PERIOD + late.CUTOFF >= watermark
-            merged.where("touched").drop("touched", "seen").write.mode("overwrite").parquet(self._path("upserts", number))
+            touched = merged.where("touched")
+            emitted = touched.drop("seen", "touched")
+            if number > 0:
+                # of a period that left the state before, the state holds this batch's records only
+                retired = touched.where(~is_open).select("period_start").distinct()
+                final = self._table("final").where(F.col("batch") < number).drop("batch").join(retired, "period_start", "left_semi")
+                both = touched.drop("seen").unionByName(final.withColumn("touched", F.lit(False)))
+                emitted = both.groupBy(*groups).agg(F.sum("n").alias("n"), F.sum("n_corrections").alias("n_corrections"), F.max("touched").alias("touched")).where("touched").drop("touched")
+            emitted.write.mode("overwrite").parquet(self._path("upserts", number))
             merged.where(~is_open).drop("touched", "seen").write.mode("overwrite").parquet(self._path("final", number))
             merged.where(is_open).drop("touched").write.mode("overwrite").parquet(self._path("state", number))
         finally:
