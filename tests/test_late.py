@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tests.oracle import plan_of
 from wardline.functions.times import HOUR, MINUTE, text_micros
 from wardline.operators import late
 from wardline.streaming.ingest import CorrectedCounts
@@ -70,3 +71,11 @@ def test_last_upserts_of_retired_periods_are_whole(spark, tmp_path):
     last = {(r["source"], r["period_start"]): (r["n"], r["n_corrections"]) for r in sorted(counts.upserts().collect(), key=lambda r: r["batch"])}
     assert last == {(r["source"], r["period_start"]): (r["n"], r["n_corrections"]) for r in counts.current().collect()}
     assert sorted(last.values()) == [(1, 0), (1, 0), (2, 1), (4, 2)]
+
+
+def test_current_is_the_last_revision(spark):
+    rows = [("a", 0, HOUR), ("a", 1, 3 * HOUR), ("a", 2, 30 * HOUR), ("b", 0, 30 * HOUR), (None, 5, 25 * HOUR), (None, 6, 25 * HOUR + 1)]
+    routed = late.route(spark.createDataFrame(rows, "s string, e long, a long"), F.col("e"), F.col("a"))
+    got = late.current(routed, ["s"])
+    assert "Window" in plan_of(got)
+    assert {tuple(r) for r in got.collect()} == {("a", 0, 2, 1, 1), ("b", 0, 0, 0, 1), (None, 0, 1, 1, 1)}

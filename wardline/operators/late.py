@@ -36,6 +36,17 @@ def route(df: DataFrame, event: Column, arrival: Column, period: int = PERIOD, l
     return timed.withColumn("outcome", F.when(behind <= lateness, "on_time").when(behind <= cutoff, "corrects").otherwise("rejected"))
 
 
+def _revisions(routed: DataFrame, keys: list[str], step: int = HOUR, period: int = PERIOD, lateness: int = LATENESS) -> DataFrame:
+    """The keyed state after each step that changes it: counts so far per key and period, ``_step`` null for the diverted records, which come last."""
+    fired = F.col("period_start") + period + lateness
+    after = F.when(F.col("outcome") == "on_time", F.lit(0).cast("long")).when(F.col("outcome") == "corrects", F.ceil((F.col("arrived") - fired) / F.lit(step)).cast("long"))
+    kinds = {"n": F.col("outcome") != "rejected", "n_corrections": F.col("outcome") == "corrects", "n_rejected": F.col("outcome") == "rejected"}
+    deltas = routed.withColumn("_step", after).groupBy(*keys, "period_start", "_step").agg(*[F.count_if(c).alias(f"_{k}") for k, c in kinds.items()])
+    in_order = Window.partitionBy(*keys, "period_start").orderBy(F.col("_step").asc_nulls_last())
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    return deltas.select(*keys, "period_start", "_step", (F.row_number().over(in_order) - 1).alias("revision"), from_micros(fired + F.col("_step") * step).alias("emitted_at"), *[F.sum(f"_{k}").over(so_far).alias(k) for k in kinds])
+
+
 def upserts(routed: DataFrame, keys: list[str], step: int = HOUR, period: int = PERIOD, lateness: int = LATENESS) -> DataFrame:
     """What the keyed state emits: per key and period, its first result and each corrected one.
 
@@ -46,32 +57,14 @@ def upserts(routed: DataFrame, keys: list[str], step: int = HOUR, period: int =
     pre-aggregated before the shuffle, so a hot key costs as many rows as it has
     periods and steps. A null in a key is a key of its own.
     """
-    fired = F.col("period_start") + period + lateness
-    after = F.when(F.col("outcome") == "on_time", F.lit(0).cast("long")).otherwise(F.ceil((F.col("arrived") - fired) / F.lit(step)).cast("long"))
-    deltas = (
-        routed.where("outcome <> 'rejected'")
-        .withColumn("_step", after)
-        .groupBy(*keys, "period_start", "_step")
-        .agg(F.count("*").alias("_n"), F.count_if(F.col("outcome") == "corrects").alias("_c"))
-    )
-    so_far = Window.partitionBy(*keys, "period_start").orderBy("_step")
-    return deltas.select(
-        *keys,
-        "period_start",
-        (F.row_number().over(so_far) - 1).alias("revision"),
-        from_micros(fired + F.col("_step") * step).alias("emitted_at"),
-        F.sum("_n").over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("n"),
-        F.sum("_c").over(so_far.rowsBetween(Window.unboundedPreceding, 0)).alias("n_corrections"),
-    )
+    return _revisions(routed.where("outcome <> 'rejected'"), keys, step, period, lateness).drop("_step", "n_rejected")
 
 
 def current(routed: DataFrame, keys: list[str]) -> DataFrame:
     """The state after all upserts, with the rejected beside it: ``n``, ``n_corrections``, ``n_rejected``.
 
-    A period whose records were all rejected is reported with ``n`` 0.
+    It is the last of the revisions that ``upserts`` emits. A period whose records
+    were all rejected is reported with ``n`` 0.
     """
-    return routed.groupBy(*keys, "period_start").agg(
-        F.count_if(F.col("outcome") != "rejected").alias("n"),
-        F.count_if(F.col("outcome") == "corrects").alias("n_corrections"),
-        F.count_if(F.col("outcome") == "rejected").alias("n_rejected"),
-    )
+    last = F.max_by(F.struct("n", "n_corrections", "n_rejected"), "revision")
+    return _revisions(routed, keys).groupBy(*keys, "period_start").agg(last.alias("_last")).select(*keys, "period_start", "_last.*")
