@@ -75,3 +75,12 @@ def test_rule_weights_and_sample(spark):
     n = {r["bin"]: r["count"] for r in got.groupBy("bin").count().collect()}
     assert n[0] == 20 and n[1] == 50 and n[2] > 200
     assert {r["h"] for r in got.collect()} == {r["h"] for r in X.stratified_sample(hosts.repartition(5), "h", {(1, 10): 20, (11, 20): 50, (21, 40): 1000}).collect()}
+
+
+def test_no_source_is_left_out(spark, monkeypatch):
+    rows = [(i, 1, f"f{i:03}") for i in range(103)] + [(200 + i, 0, None) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, label int, source string").repartition(3)
+    monkeypatch.setattr(X, "fit", lambda *_: None)
+    monkeypatch.setattr(X, "scored", lambda _, test: test)
+    monkeypatch.setattr(X, "evaluate", lambda _: {})
+    assert list(X.leave_one_source_out(df, "source", "id")) == [f"f{i:03}" for i in range(103)]

@@ -117,10 +117,10 @@ def evaluate(rows: DataFrame, label: str = "label") -> dict:
 
 
 def leave_one_source_out(df: DataFrame, source: str, key: str, kind: str = "logistic", parts: Sequence[str] = ("lexical", "infrastructure")) -> dict[str, dict]:
-    """Evaluation on each source's positives with all other sources' for training; negatives are halved by hash."""
+    """Evaluation on each source's positives with all other sources' for training, all sources in order; negatives are halved by hash."""
     half = F.pmod(F.xxhash64(F.lit(5), key), F.lit(2)) == 0
     out = {}
-    for (s,) in df.where("label = 1").select(source).where(F.col(source).isNotNull()).distinct().limit(100).collect():  # feeds are configured one by one
+    for (s,) in sorted(df.where("label = 1").select(source).where(F.col(source).isNotNull()).distinct().collect()):  # feeds are configured one by one
         mine = F.col(source) == s
         train = df.where((F.col("label") == 1) & ~mine | (F.col("label") == 0) & half)
         test = df.where((F.col("label") == 1) & mine | (F.col("label") == 0) & ~half)
