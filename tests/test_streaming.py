@@ -49,3 +49,25 @@ def test_watchdog():
     looks = [(0, 10), (0, 100), (0, 200), (0, 450), (500, 510), (500, 520)]
     assert [dog.look(a, b) for a, b in looks] == ["fresh", "stale", "still_stale", "still_stale", "recovered", "fresh"]
     assert said == ["stale", "still_stale", "recovered"]
+
+
+def test_nothing_is_lost_silently(spark, tmp_path):
+    import time
+
+    src, out, dead, check = (str(tmp_path / x) for x in ("in", "out", "dead", "check"))
+    msg = lambda i, t: (json.dumps({"id": i, "domain": f"{i}.test", "event_ts": t, "producer_ts": t, "source": "certstream"}),)
+    batches = [[msg("1", "2026-08-03T12:00:00Z"), msg("2", "never"), msg("3", None)], [msg("4", "2026-08-03T12:05:00Z")], [msg("5", "2026-08-03T09:00:00Z"), msg("6", "2026-08-03T12:06:00Z")]]
+    dropped = []
+    for rows in batches:
+        spark.createDataFrame(rows, "value string").withColumn("ingest_ts", F.lit("2026-08-03 12:10:00").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("value string, ingest_ts timestamp").parquet(src)
+        for q in ingest.ingest(stream, out, dead, check, {"availableNow": True}, tell_dropped=dropped.append):
+            q.awaitTermination(120)
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["1", "4", "6"]
+    letters = spark.read.parquet(f"{dead}_untimed").collect()
+    assert sorted((json.loads(r["value"])["id"], r["reason"]) for r in letters) == [("2", "no_time"), ("3", "no_time")]
+    for _ in range(50):  # listeners hear of a batch a little later
+        if dropped:
+            break
+        time.sleep(0.2)
+    assert dropped == [1]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import logging
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from wardline.functions.times import from_micros, text_micros
 from wardline.operators import late
@@ -39,16 +41,49 @@ def outbox(spark: SparkSession, path: str, files_per_trigger: int | None = None)
 def deduplicated(events: DataFrame, within: str = "10 minutes") -> DataFrame:
     """ST1-ST2, ST6: valid events once per id within the watermark; state is bounded by it.
 
-    The batch twin, without a horizon, is ``operators.delivery``.
+    Events without a usable time are left out (see ``untimed``); those behind the
+    watermark are dropped, which ``LateDrops`` tells. The batch twin, without a horizon, is ``operators.delivery``.
     """
     valid = events.where("valid").select("event.*", "ingest_ts")
     timed = valid.withColumn("event_time", from_micros(text_micros(F.col("event_ts"))).cast("timestamp")).where("event_time is not null")
     return timed.withWatermark("event_time", within).dropDuplicatesWithinWatermark(["id"])
 
 
-def ingest(raw: DataFrame, out: str, dead: str, checkpoint: str, trigger: dict | None = None, rules: Rules | None = None, spool: str | None = None) -> list[StreamingQuery]:
+def untimed(events: DataFrame) -> DataFrame:
+    """Valid events whose time is missing or unusable, in the form of dead letters."""
+    rows = events.where("valid").where(from_micros(text_micros(F.col("event.event_ts"))).isNull())
+    return rows.select(F.col("value").cast("string").alias("value"), F.lit("no_time").alias("reason"), F.col("ingest_ts").alias("ig_ts"))
+
+
+class LateDrops(StreamingQueryListener):
+    """ST5: tells of each batch of the query ``name`` how many rows were behind the watermark and dropped (numRowsDroppedByWatermark)."""
+
+    def __init__(self, name: str, tell: Callable[[int], None]) -> None:
+        self.name, self.tell = name, tell
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        dropped = sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        if event.progress.name == self.name and dropped:
+            self.tell(dropped)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def ingest(
+    raw: DataFrame, out: str, dead: str, checkpoint: str, trigger: dict | None = None, rules: Rules | None = None, spool: str | None = None, tell_dropped: Callable[[int], None] | None = None
+) -> list[StreamingQuery]:
     """K1-K2, T7, ST3: valid events to a table by day (and below the threshold to a spool), broken ones with a reason to ``dead``.
 
+    Valid ones without a usable time go to dead letters of their own, ``dead`` with
+    ``_untimed``. How many rows of a batch the watermark drops is given to
+    ``tell_dropped``, by default a warning in the log.
     ``raw`` has ``value`` and ``ingest_ts``. Triage runs on each micro-batch, in
     parallel and after de-duplication, where it is an ordinary query.
     """
@@ -71,10 +106,13 @@ def ingest(raw: DataFrame, out: str, dead: str, checkpoint: str, trigger: dict |
         else:
             put(scored, out)
 
-    good = deduplicated(parsed).writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/good").trigger(**when).start()
+    name = f"ingest-{uuid.uuid4()}"
+    raw.sparkSession.streams.addListener(LateDrops(name, tell_dropped or (lambda n: logging.getLogger(__name__).warning("%d rows behind the watermark dropped on the way to %s", n, out))))
+    good = deduplicated(parsed).writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", f"{checkpoint}/good").trigger(**when).start()
     bad = parsed.where("not valid").select(F.col("value").cast("string").alias("value"), "reason", F.col("ingest_ts").alias("ig_ts"))
     broken = bad.writeStream.format("parquet").option("path", dead).option("checkpointLocation", f"{checkpoint}/dead").outputMode("append").trigger(**when).start()
-    return [good, broken]
+    no_time = untimed(parsed).writeStream.format("parquet").option("path", f"{dead.rstrip('/')}_untimed").option("checkpointLocation", f"{checkpoint}/untimed").outputMode("append").trigger(**when).start()
+    return [good, broken, no_time]
 
 
 def console(df: DataFrame, rows: int = 20) -> StreamingQuery:
