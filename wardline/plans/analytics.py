@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.hosts import clean_host, digits, folded, present, present_host
+from wardline.functions.text import finite
 from wardline.functions.times import from_micros, micros
 from wardline.operators import leadtime, merging, ranking
 from wardline.plans.dealt import _EPOCH, fold_sql, host_sql, missing_sql
@@ -186,9 +187,9 @@ def candidate_observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def observation_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Rows stored within a day merged by (host, event) with those stored late: scores replaced, registration filled."""
+    """Rows stored within a day merged by (host, event) with those stored late: scores replaced (a NaN is none), registration filled."""
     rows = table(spark, d, "ct_observations")
-    keyed = rows.select(clean_host(F.col("raw_host")).alias("raw_host"), "event_ts", "risk_score", "registrar", "id", (micros(rows, "created_at") - micros(rows, "event_ts") > 86_400_000_000).alias("late")).where("event_ts is not null and raw_host is not null")
+    keyed = rows.select(clean_host(F.col("raw_host")).alias("raw_host"), "event_ts", finite(F.col("risk_score")).alias("risk_score"), "registrar", "id", (micros(rows, "created_at") - micros(rows, "event_ts") > 86_400_000_000).alias("late")).where("event_ts is not null and raw_host is not null")
     old = merging.keep_first(keyed.where("not late"), ["raw_host", "event_ts"], [F.col("id")])
     new = merging.keep_first(keyed.where("late"), ["raw_host", "event_ts"], [F.col("id").desc()])
     return merging.upsert(old, new, ["raw_host", "event_ts"], ["risk_score"], ["registrar"])
@@ -305,7 +306,7 @@ ORACLES = {
     "snapshot_fingerprints": "select *, count(*) over (partition by n) > 1 as same_size from (select source_file, count(*) as n, max(event_ts) as newest, count(distinct id) as ids from ct_observations group by 1)",
     "candidate_observations": f"""select id, {host_sql("raw_host")} as host, event_ts from ct_observations where {present_host_sql("raw_host")} is not null
       and (coalesce(risk_label_final = 1, false) or coalesce(ti_misp_hit = 1, false) or coalesce(not isnan(risk_score) and risk_score >= 0.7, false))""",
-    "observation_upsert": f"""with k as (select {host_sql("raw_host")} as raw_host, event_ts, risk_score, registrar, id, epoch_us(created_at) - epoch_us(event_ts) > 86400000000 as late from ct_observations where event_ts is not null),
+    "observation_upsert": f"""with k as (select {host_sql("raw_host")} as raw_host, event_ts, case when not isnan(risk_score) and not isinf(risk_score) then risk_score end as risk_score, registrar, id, epoch_us(created_at) - epoch_us(event_ts) > 86400000000 as late from ct_observations where event_ts is not null),
       o as (select * from k where not late qualify row_number() over (partition by raw_host, event_ts order by id) = 1), n as (select * from k where late qualify row_number() over (partition by raw_host, event_ts order by id desc) = 1)
       select coalesce(n.raw_host, o.raw_host) as raw_host, coalesce(n.event_ts, o.event_ts) as event_ts, case when n.id is not null then n.risk_score else o.risk_score end as risk_score, coalesce(n.registrar, o.registrar) as registrar
       from o full join n on o.raw_host = n.raw_host and o.event_ts = n.event_ts""",
