@@ -79,3 +79,29 @@ def test_current_is_the_last_revision(spark):
     got = late.current(routed, ["s"])
     assert "Window" in plan_of(got)
     assert {tuple(r) for r in got.collect()} == {("a", 0, 2, 1, 1), ("b", 0, 0, 0, 1), (None, 0, 1, 1, 1)}
+
+
+def test_replay_diverts_and_keeps_only_recent_state(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = []
+    for k in range(500):
+        e = rnd.randrange(0, 60) * HOUR + rnd.randrange(HOUR)
+        rows.append((k, rnd.choice(["x", "x", "y", None]), e, e + rnd.choice([0, HOUR, 5 * HOUR, 24 * HOUR, 26 * HOUR])))
+    rnd.shuffle(rows)
+    src = str(tmp_path / "in")
+    spark.createDataFrame(rows, "k long, source string, e long, a long").repartition(6).write.parquet(src)
+    records = spark.read.parquet(src)
+    counts = CorrectedCounts(spark, str(tmp_path / "out"), ["source"], ["k"]).replay(records, F.col("e"), F.col("a"), batches=6)
+    routed = late.route(records, F.col("e"), F.col("a"))
+    for kind, got in (("corrects", counts.corrections()), ("rejected", counts.rejected())):
+        assert sorted(r["k"] for r in got.collect()) == sorted(r["k"] for r in routed.where(F.col("outcome") == kind).collect()) != []
+    plain = lambda df: {(r["source"], r["period_start"], r["n"], r["n_corrections"]) for r in df.collect()}
+    assert plain(counts.upserted()) == plain(counts.current())
+    assert sorted(p.name for p in (tmp_path / "out" / "state").iterdir()) == ["batch=4", "batch=5"]
+    assert list((tmp_path / "out" / "merged").iterdir()) == []
+
+
+def test_replay_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "source string, e long, a long").write.parquet(str(tmp_path / "in"))
+    counts = CorrectedCounts(spark, str(tmp_path / "out"), ["source"]).replay(spark.read.parquet(str(tmp_path / "in")), F.col("e"), F.col("a"))
+    assert counts.current().count() == counts.upserted().count() == counts.corrections().count() == counts.rejected().count() == 0

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wardline.functions.hosts import folded, present, present_host
 from wardline.functions.times import from_micros, micros, text_micros
 from wardline.operators import delivery, dense, late, orphans
+from wardline.scratch import materialize
+from wardline.streaming.ingest import CorrectedCounts
 from wardline.tables import table
 
 
@@ -17,9 +19,28 @@ def _routed(spark: SparkSession, d: str) -> DataFrame:
     return late.route(kept, text_micros(F.col("event_ts")), text_micros(F.col("producer_ts")))
 
 
+def _replayed(spark: SparkSession, d: str) -> CorrectedCounts:
+    log = table(spark, d, "stream_ct").select("kafka_offset", "id", "domain", "source", "event_ts", "producer_ts", "ingest_ts")
+    kept = delivery.deliver_once(log).select("kafka_offset", present(F.col("source")).alias("source"), text_micros(F.col("event_ts")).alias("e"), text_micros(F.col("producer_ts")).alias("p"))
+    records, path = materialize(kept, "kept-messages")
+    return CorrectedCounts(spark, f"{path}-stream", ["source"], ["kafka_offset"]).replay(records, F.col("e"), F.col("p"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Kept messages that arrive after their hour's first result: corrections and rejections."""
-    return _routed(spark, d).where("outcome <> 'on_time'").select("kafka_offset", "outcome")
+    """Kept messages that arrive after their hour's first result: those by which the keyed state was corrected, and those it diverted."""
+    counts = _replayed(spark, d)
+    corrections = counts.corrections().select("kafka_offset", F.lit("corrects").alias("outcome"))
+    return corrections.unionByName(counts.rejected().select("kafka_offset", F.lit("rejected").alias("outcome")))
+
+
+def p2_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's counts per source and hour when all messages are read."""
+    return _replayed(spark, d).current().select("source", from_micros(F.col("period_start")).alias("hour"), "n", "n_corrections")
+
+
+def p2_stream_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """What a sink holds that upserted all that the stream emitted; equal to its counts."""
+    return _replayed(spark, d).upserted().select("source", from_micros(F.col("period_start")).alias("hour"), "n", "n_corrections")
 
 
 def p2_hourly(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +114,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy("table_name", day, "kind").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hourly, p2_upserts, p3_found, p3_domains, p3_brands, p4_found, p4_once, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hourly, p2_upserts, p2_stream, p2_stream_upserts, p3_found, p3_domains, p3_brands, p4_found, p4_once, p5_found, p5_report)}
 
 _HOST = "regexp_replace(rtrim(lower(trim({0}, ' \t\n\r\f\x0b')), '.'), '^\\*\\.', '')"
 _FOLD = "lower(trim({0}, ' \t\n\r\f\x0b'))"
@@ -156,7 +177,12 @@ found as (
   select 'campaign_clusters', k.id, k.updated_at, case when p.u is null then 'missing' when p.c > k.updated_at then 'late' end
   from campaign_clusters k left join people p on p.u = {fold_sql("k.assignee")} where not {missing_sql("k.assignee")})"""
 
+_COUNTS = f"""{_TIMED} select source, {_EPOCH} + to_microseconds(h) as hour, count(*) as n, count(*) filter (where outcome = 'corrects') as n_corrections
+  from routed where outcome <> 'rejected' group by source, h"""
+
 ORACLES = {
+    "p2_stream": _COUNTS,
+    "p2_stream_upserts": _COUNTS,
     "p2_found": f"{_TIMED} select kafka_offset, outcome from routed where outcome <> 'on_time'",
     "p2_hourly": f"""{_TIMED} select source, {_EPOCH} + to_microseconds(h) as hour,
       count(*) filter (where outcome <> 'rejected') as n, count(*) filter (where outcome = 'corrects') as n_corrections,

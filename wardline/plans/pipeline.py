@@ -8,14 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.hosts import present, present_host
-from wardline.functions.times import from_micros, text_micros
-from wardline.operators import campaigns, delivery, features, merging
+from wardline.operators import campaigns, features, merging
 from wardline.plans.analytics import present_host_sql, present_sql
 from wardline.plans.campaigns import _BRANDS, _MEMBERS, OWN, WATCHED, _members, _observed
-from wardline.plans.dealt import _EPOCH, _TIMED
-from wardline.scratch import materialize
 from wardline.sources.feeds import read_since
-from wardline.streaming.ingest import CorrectedCounts
 from wardline.tables import table
 
 HOT_ROWS, NEWEST_ROWS = 600, 5000
@@ -96,16 +92,6 @@ def rank_changes(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where("place <= 2").select("domain", "id", "event_ts", "place")
 
 
-def p2_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Problem 2 as a stream: the kept messages through ``CorrectedCounts``, its counts when all are read."""
-    log = table(spark, d, "stream_ct").select("kafka_offset", "id", "domain", "source", "event_ts", "producer_ts", "ingest_ts")
-    kept, path = materialize(delivery.deliver_once(log).select("kafka_offset", present(F.col("source")).alias("source"), "event_ts", "producer_ts"), "kept-messages")
-    counts = CorrectedCounts(spark, f"{path}-stream", ["source"])
-    records = spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 4).parquet(path)
-    counts.start(records, text_micros(F.col("event_ts")), text_micros(F.col("producer_ts"))).awaitTermination()
-    return counts.current().select("source", from_micros(F.col("period_start")).alias("hour"), "n", "n_corrections")
-
-
 def ask(spark: SparkSession, d: str, question: str) -> DataFrame | None:
     """One of three fixed questions, recognised by pattern, answered with bound parameters; none if it isn't one of them.
 
@@ -128,7 +114,7 @@ def ask(spark: SparkSession, d: str, question: str) -> DataFrame | None:
 
 QUERIES = {
     f.__name__: f
-    for f in (hot_path, newest_domains, tier2_gate, clean_positives, geo_fill, rescore_audit, brand_audit, weighted_background, rank_changes, p2_stream)
+    for f in (hot_path, newest_domains, tier2_gate, clean_positives, geo_fill, rescore_audit, brand_audit, weighted_background, rank_changes)
 }
 
 ORACLES = {
@@ -152,6 +138,4 @@ ORACLES = {
         case when count(*) filter (where same) = 0 then 'delete' when count(*) filter (where not same) > 0 then 'prune' else 'keep' end as action from x group by 1, 2""",
     "rank_changes": f"""select domain, id, event_ts, place from (select {present_host_sql("registered_domain")} as domain, id, event_ts, (row_number() over (partition by {present_host_sql("registered_domain")} order by event_ts desc, id desc))::integer as place
       from ct_observations where event_ts is not null and {present_host_sql("registered_domain")} is not null) where place <= 2""",
-    "p2_stream": f"""{_TIMED} select source, {_EPOCH} + to_microseconds(h) as hour, count(*) as n, count(*) filter (where outcome = 'corrects') as n_corrections
-      from routed where outcome <> 'rejected' group by source, h""",
 }

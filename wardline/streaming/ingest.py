@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from wardline.functions.times import from_micros, text_micros
 from wardline.operators import late
 from wardline.operators.triage import Rules, triage
+from wardline.scratch import discard
 from wardline.sources.feeds import parse_events
 
 #: Session settings of the long-running stream: state size and retention, and the watermark of several inputs.
@@ -128,20 +129,34 @@ class CorrectedCounts:
     seen: a period whose cut-off it has passed leaves the state for the table of
     final counts. A record within its cut-off that is delivered even later still
     counts: it is added to the final count on reading, and its upsert holds the sum.
-    Records beyond the cut-off are diverted. All that a batch writes is named by its number and replaced if the batch
-    is repeated, so a restart counts nothing twice; the result equals
+    Records that change a result already emitted are listed as corrections, those
+    beyond the cut-off change nothing and are diverted; both with the columns ``carry``.
+    All that a batch writes is named by its number and replaced if the batch is
+    repeated, so a restart counts nothing twice; the result equals
     ``operators.late.current`` over the same records, in any order and any batches.
+    The state of the last two batches is kept, older state is deleted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str]) -> None:
-        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], carry: list[str] | None = None) -> None:
+        self.spark, self.folder, self.keys, self.carry = spark, folder.rstrip("/"), keys, carry or []
 
     def start(self, records: DataFrame, event: Column, arrival: Column, **trigger: object) -> StreamingQuery:
         """Start the stream over ``records``; ``availableNow`` unless a trigger is given."""
-        routed = late.route(records, event, arrival).select(*self.keys, "period_start", "arrived", "outcome")
+        columns = dict.fromkeys([*self.keys, *self.carry, "period_start", "arrived", "outcome"])
+        routed = late.route(records, event, arrival).select(*columns)
         writer = routed.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.folder}/checkpoint")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
+    def replay(self, records: DataFrame, event: Column, arrival: Column, batches: int = 4) -> CorrectedCounts:
+        """Run a table of files (see ``scratch.materialize``) through the stream in so many batches, and wait for the end."""
+        files = records.inputFiles()
+        if files:
+            # the stream lists the folder of the files, all of which are of one table
+            path = files[0].rsplit("/", 1)[0]
+            stream = self.spark.readStream.schema(records.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // batches))).parquet(path)
+            self.start(stream, event, arrival).awaitTermination()
+        return self
+
     def _path(self, kind: str, number: int) -> str:
         return f"{self.folder}/{kind}/batch={number}"
 
@@ -150,6 +165,7 @@ class CorrectedCounts:
         batch.persist()
         try:
             batch.where("outcome = 'rejected'").drop("outcome").write.mode("overwrite").parquet(self._path("rejected", number))
+            batch.where("outcome = 'corrects'").drop("outcome").write.mode("overwrite").parquet(self._path("corrections", number))
             delta = batch.where("outcome <> 'rejected'").groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "corrects").alias("n_corrections"), F.max("arrived").alias("seen"))
             delta = delta.withColumn("touched", F.lit(True))
             both = delta
@@ -165,13 +181,18 @@ class CorrectedCounts:
             emitted = touched.drop("seen", "touched")
             if number > 0:
                 # of a period that left the state before, the state holds this batch's records only
-                retired = touched.where(~is_open).select("period_start").distinct()
-                final = self._table("final").where(F.col("batch") < number).drop("batch").join(retired, "period_start", "left_semi")
-                both = touched.drop("seen").unionByName(final.withColumn("touched", F.lit(False)))
-                emitted = both.groupBy(*groups).agg(F.sum("n").alias("n"), F.sum("n_corrections").alias("n_corrections"), F.max("touched").alias("touched")).where("touched").drop("touched")
+                first, last = touched.where(~is_open).agg(F.min("period_start"), F.max("period_start")).first()
+                if first is not None:
+                    retired = touched.where(~is_open).select("period_start").distinct()
+                    final = self._table("final").where((F.col("batch") < number) & F.col("period_start").between(first, last)).drop("batch").join(retired, "period_start", "left_semi")
+                    both = touched.drop("seen").unionByName(final.withColumn("touched", F.lit(False)))
+                    emitted = both.groupBy(*groups).agg(F.sum("n").alias("n"), F.sum("n_corrections").alias("n_corrections"), F.max("touched").alias("touched")).where("touched").drop("touched")
             emitted.write.mode("overwrite").parquet(self._path("upserts", number))
             merged.where(~is_open).drop("touched", "seen").write.mode("overwrite").parquet(self._path("final", number))
             merged.where(is_open).drop("touched").write.mode("overwrite").parquet(self._path("state", number))
+            # a repeated batch needs the state before it and nothing older
+            discard(self.spark, self._path("merged", number))
+            discard(self.spark, self._path("state", number - 2))
         finally:
             batch.unpersist()
 
@@ -182,6 +203,11 @@ class CorrectedCounts:
         """Every emitted count with the ``batch`` that emitted it."""
         return self._table("upserts")
 
+    def upserted(self) -> DataFrame:
+        """What a sink that upserts by key and period holds in the end: the last emitted count of each."""
+        last = F.max_by(F.struct("n", "n_corrections"), "batch")
+        return self.upserts().groupBy(*self.keys, "period_start").agg(last.alias("_last")).select(*self.keys, "period_start", "_last.*")
+
     def current(self) -> DataFrame:
         """The counts per key and period after all batches so far."""
         state = self._table("state")
@@ -191,6 +217,10 @@ class CorrectedCounts:
         rows = state.where(F.col("batch") == newest).unionByName(self._table("final"), allowMissingColumns=True)
         return rows.groupBy(*self.keys, "period_start").agg(F.sum("n").alias("n"), F.sum("n_corrections").alias("n_corrections"))
 
+    def corrections(self) -> DataFrame:
+        """Records that came after their period's first result and changed it."""
+        return self._table("corrections")
+
     def rejected(self) -> DataFrame:
         """Records beyond the cut-off."""
         return self._table("rejected")
