@@ -93,3 +93,30 @@ def test_very_long_text(spark):
     found = spans.shared_spans(df)
     assert [tuple(r) for r in found.all_pairs().collect()] == [(1, 2)]
     assert {r["doc_id"]: r["shared_chars"] for r in found.per_document(df).collect()} == {1: 400, 2: 400}
+
+
+def test_footers_are_counted_without_pairs(spark):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefgh \nxyz") for _ in range(n))
+    footers = [text(320), text(330), text(305)]
+    docs = []
+    for i in range(240):
+        mine = [f for k, f in enumerate(footers) if i % (k + 2) == 0]
+        docs.append((i, text(200) + "".join(text(40) + f for f in mine) + text(30)))
+    docs += [(300 + i, docs[i][1]) for i in range(0, 40, 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    pairs, shared = brute(docs)
+    few, deep = spans.FEW, spans.MOST_SETS
+    for limit, most in ((few, deep), (20, deep), (20, 1), (20, 0)):
+        spans.MOST_SETS = most
+        try:
+            found = spans.shared_spans(df, limit)
+            got = {r["doc_id"]: (r["links"], r["shared_chars"]) for r in found.per_document(df).collect()}
+        finally:
+            spans.MOST_SETS = deep
+        assert got == {d: (sum(d in p for p in pairs), shared[d]) for d, _ in docs}
+    # a footer's groups, one per common length of its surroundings, are reduced to a few
+    assert found.groups.select("g").distinct().count() < 12
+    assert {tuple(r) for r in found.all_pairs().collect()} == pairs
+    rows = found.groups.count()
+    assert rows < 3 * len(docs)

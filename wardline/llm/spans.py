@@ -12,8 +12,9 @@ common text around c is compared, which verifies the span exactly.
 Records with the same text are one class up to the last step. A signature of many
 records (a footer somewhat shorter than SPAN, or a passage that really is
 everywhere) isn't paired up: each record's spans of SPAN characters in that window are
-grouped by two 64-bit hashes, so that only records that share a span meet, and
-of groups with the same records one is paired.
+grouped by two 64-bit hashes, so that only records that share a span meet; groups
+with the same records are one, and groups inside a larger one are left out. Pairs
+of a group are made only where pairs are asked for.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ SPAN, GRAM = 300, 150
 WIDTH = SPAN - GRAM + 1
 #: A signature of so many representatives at most, with four times as many windows, is paired up directly.
 FEW = 64
+#: Pairs that are compared, and windows that are laid out, at a time: some 20 MB.
+PAIRS, MEMBERS = 4096, 8192
+#: Groups of more than FEW records that one record is in, up to which its partners are counted by inclusion and exclusion.
+MOST_SETS = 8
 _MATCH = "a long, b long, start_a int, start_b int, chars int"
 
 
@@ -98,55 +103,76 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["h", "crowded", "doc", "start", "back", "piece"])
 
 
-def _common_prefix(a: str, b: str) -> int:
-    most = min(len(a), len(b))
-    if a[:most] == b[:most]:
-        return most
-    low, high = 0, most
-    while high - low > 1:
-        middle = (low + high) // 2
-        if a[low:middle] == b[low:middle]:
-            low = middle
-        else:
-            high = middle
-    return low
+def _rows_of(texts: list[str], fill: int) -> np.ndarray:
+    """Texts as rows of code points, filled up on the right with a value that is none."""
+    data, offsets = K.code_points(texts)
+    lengths = np.diff(offsets)
+    out = np.full((len(texts), int(lengths.max(initial=0)) + 1), fill, dtype=np.int32)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    out[row, np.arange(len(data)) - offsets[row]] = data
+    return out
 
 
 def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare the windows of one signature with each other, around the shared minimum."""
     for batch in batches:
-        out: tuple[list[int], ...] = ([], [], [], [], [])
-        for members in batch.column("members").to_pylist():
-            heads = [m["piece"][: m["back"]][::-1] for m in members]
-            tails = [m["piece"][m["back"] :] for m in members]
-            for i, x in enumerate(members):
-                for j in range(i + 1, len(members)):
-                    y = members[j]
-                    if x["doc"] == y["doc"] or min(len(heads[i]), len(heads[j])) + min(len(tails[i]), len(tails[j])) < SPAN:
-                        continue
-                    after = _common_prefix(tails[i], tails[j])
-                    before = _common_prefix(heads[i], heads[j])
-                    if after >= GRAM and before + after >= SPAN:
-                        p, q = (x, y) if x["doc"] < y["doc"] else (y, x)
-                        for values, v in zip(out, (p["doc"], q["doc"], p["start"] + p["back"] - before, q["start"] + q["back"] - before, before + after)):
-                            values.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(out[k], pa.int32()) for k in (2, 3, 4))], ["a", "b", "start_a", "start_b", "chars"])
+        groups = batch.column("members")
+        ends = groups.offsets.to_numpy().astype(np.int64)
+        found = [np.empty((0, 5), dtype=np.int64)]
+        at = 0
+        while at < len(groups):  # as many groups at a time as have MEMBERS windows
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + MEMBERS, side="right")) - 1)
+            found.extend(_matches_of(groups.values.slice(ends[at], ends[to] - ends[at]), np.diff(ends[at : to + 1])))
+            at = to
+        out = np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), *(pa.array(out[:, k].astype(np.int32)) for k in (2, 3, 4))], ["a", "b", "start_a", "start_b", "chars"])
+
+
+def _matches_of(members: pa.StructArray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Matches within groups of windows that lie one after the other, PAIRS pairs at a time."""
+    doc, start, back = (members.field(k).to_numpy().astype(np.int64) for k in ("doc", "start", "back"))
+    pieces = members.field("piece").to_pylist()
+    heads = _rows_of([t[:b][::-1] for t, b in zip(pieces, back.tolist())], -1)
+    tails = _rows_of([t[b:] for t, b in zip(pieces, back.tolist())], -1)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # member x of a group meets the members after it
+    partners = np.repeat(sizes, sizes) - 1 - place
+    ends = np.cumsum(partners)
+    total = int(ends[-1]) if len(ends) else 0
+    for low in range(0, total, PAIRS):
+        k = np.arange(low, min(low + PAIRS, total))
+        x = np.searchsorted(ends, k, side="right")
+        y = x + 1 + (k - (ends[x] - partners[x]))
+        apart = doc[x] != doc[y]
+        x, y = x[apart], y[apart]
+        x, y = np.where(doc[x] < doc[y], x, y), np.where(doc[x] < doc[y], y, x)
+        after, before = _common(tails, x, y), _common(heads, x, y)
+        good = (after >= GRAM) & (before + after >= SPAN)
+        x, y, before, after = x[good], y[good], before[good], after[good]
+        yield np.stack([doc[x], doc[y], start[x] + back[x] - before, start[y] + back[y] - before, before + after], axis=1)
+
+
+def _common(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many leading values the rows x and y have in common, without the fill."""
+    a, b = rows[x], rows[y]
+    return np.argmin((a == b) & (a >= 0), axis=1)
 
 
 def _spans_of_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes of every span of SPAN characters in a window that holds its minimum."""
     for batch in batches:
-        k1s, k2s, docs, starts = [], [], [], []
-        for doc, start, piece in zip(*(batch.column(k).to_pylist() for k in ("doc", "start", "piece"))):
+        hs, k1s, k2s, docs, starts = [], [], [], [], []
+        for h, doc, start, piece in zip(*(batch.column(k).to_pylist() for k in ("h", "doc", "start", "piece"))):
             points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             if len(points) < SPAN:
                 continue
             k1s.append(K.gram_hashes(points, SPAN))
             k2s.append(K.gram_hashes(points.astype(np.uint64) + np.uint64(1 << 40), SPAN))
+            hs.append(np.full(len(k1s[-1]), h, dtype=np.int64))
             docs.append(np.full(len(k1s[-1]), doc, dtype=np.int64))
             starts.append(np.arange(start, start + len(k1s[-1]), dtype=np.int32))
         if k1s:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k1s).view(np.int64)), pa.array(np.concatenate(k2s).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts))], ["k1", "k2", "doc", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, [k.view(np.int64) for k in k1s], [k.view(np.int64) for k in k2s], docs, starts)], ["h", "k1", "k2", "doc", "start"])
 
 
 class SharedSpans:
@@ -173,30 +199,83 @@ class SharedSpans:
         #: Matches between representatives; ``a`` < ``b``, each with the start and the length of a shared run.
         self.direct, _ = materialize(direct, "matches")
         many = windows.where("crowded").unionByName(of_few.join(again, "h", "left_semi"))
-        spans, _ = materialize(many.select("doc", "start", "piece").mapInArrow(_spans_of_windows, "k1 long, k2 long, doc long, start int"), "spans")
-        per_key = spans.groupBy("k1", "k2").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b"), F.count("*").alias("_n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(3), "doc")).alias("_x")).where("_a < _b")
+        spans, _ = materialize(many.select("h", "doc", "start", "piece").mapInArrow(_spans_of_windows, "h long, k1 long, k2 long, doc long, start int"), "spans")
+        per_key = spans.groupBy("k1", "k2").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b"), F.count("*").alias("_n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("_s"), F.bit_xor(F.xxhash64(F.lit(3), "doc")).alias("_x"), F.min("h").alias("h")).where("_a < _b")
+        per_key, _ = materialize(per_key, "keys")
+        # keys with the same records are one group, named by its least key
+        named = per_key.groupBy("_a", "_b", "_n", "_s", "_x").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2", F.lit(True).alias("names"))
+        told = per_key.select("k1", "k2", "_n", F.col("h").alias("_h")).join(named, ["k1", "k2"], "left")
+        shared, _ = materialize(spans.join(told, ["k1", "k2"]).select("k1", "k2", "doc", "start", "_n", "_h", "names"), "shared-spans")
         #: Spans of crowded windows that stand in several representatives.
-        self.crowded = spans.join(per_key.select("k1", "k2"), ["k1", "k2"]).select("doc", "start")
-        chosen = per_key.groupBy("_a", "_b", "_n", "_s", "_x").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
-        members = spans.join(chosen, ["k1", "k2"]).groupBy("k1", "k2", "doc").agg(F.lit(1).alias("_one")).select("k1", "k2", "doc")
-        crowd_pairs = members.withColumnRenamed("doc", "a").join(members.withColumnRenamed("doc", "b"), ["k1", "k2"]).where("a < b").select("a", "b")
-        #: Pairs of representatives that share a span, each once.
-        self.pairs = self.direct.select("a", "b").unionByName(crowd_pairs).distinct()
+        self.crowded = shared.select("doc", "start")
+        members = shared.where("names").groupBy("k1", "k2", "doc").agg(F.max("_n").alias("_n"), F.max("_h").alias("_h"))
+        # a group whose records all have the same larger group of its signature lies in that group and tells nothing new
+        largest = members.groupBy("_h", "doc").agg(F.max(F.struct("_n", "k1", "k2")).alias("_top"))
+        over = members.join(largest, ["_h", "doc"]).groupBy("k1", "k2").agg(F.min("_top").alias("_low"), F.max("_top").alias("_high"), F.count("*").alias("size"))
+        own = (F.col("_low.k1") == F.col("k1")) & (F.col("_low.k2") == F.col("k2"))
+        kept = over.where((F.col("_low") != F.col("_high")) | own).select("k1", "k2", "size")
+        #: Groups of representatives that share a span: ``g``, ``doc``, ``size`` (representatives of the group).
+        self.groups, _ = materialize(members.join(kept, ["k1", "k2"]).select(F.struct("k1", "k2").alias("g"), "doc", "size"), "groups")
+        self.few = few
+
+    def _within(self, groups: DataFrame) -> DataFrame:
+        """Pairs of representatives of one group, each perhaps several times."""
+        return groups.select("g", F.col("doc").alias("a")).join(groups.select("g", F.col("doc").alias("b")), "g").where("a < b").select("a", "b")
 
     def all_pairs(self) -> DataFrame:
         """``doc_id_a`` < ``doc_id_b``: all pairs of documents, copies too."""
+        pairs = self.direct.select("a", "b").unionByName(self._within(self.groups)).distinct()
         by_rep = self.copies.select(F.col("rep"), F.col("doc"))
-        wide = self.pairs.join(by_rep.select(F.col("rep").alias("a"), F.col("doc").alias("_a")), "a", "left").join(by_rep.select(F.col("rep").alias("b"), F.col("doc").alias("_b")), "b", "left")
+        wide = pairs.join(by_rep.select(F.col("rep").alias("a"), F.col("doc").alias("_a")), "a", "left").join(by_rep.select(F.col("rep").alias("b"), F.col("doc").alias("_b")), "b", "left")
         between = wide.select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
         within = by_rep.select("rep", F.col("doc").alias("x")).join(by_rep.select("rep", F.col("doc").alias("y")), "rep").where("x < y").select("x", "y")
         return between.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
+    def _links(self) -> DataFrame:
+        """``doc``, ``others``: the documents, copies counted, of other representatives that share a span with a representative.
+
+        Groups of FEW representatives or fewer, and the direct matches, are pairs, at
+        most FEW for each row. Representatives in the same larger groups are of one
+        kind; the partners that a kind has through these groups are counted per kind, by inclusion and exclusion over
+        what kinds lie in each set of groups, or, for kinds in more than MOST_SETS
+        groups, kind by kind. A pair within a larger group isn't counted again.
+        """
+        sizes = self.copies.where("doc = rep").select("rep", "size")
+        large = self.groups.where(F.col("size") > self.few)
+        listed = large.groupBy("doc").agg(F.array_sort(F.collect_set("g")).alias("sets"))
+        of_kind, _ = materialize(listed.join(sizes, listed["doc"] == sizes["rep"], "left").select("doc", "sets", F.coalesce("size", F.lit(1)).alias("_w")), "kinds")
+        kinds, _ = materialize(of_kind.groupBy("sets").agg(F.sum("_w").alias("_w")), "kind-sizes")
+
+        few_sets = F.size("sets") <= MOST_SETS
+        masks = F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size("sets")).cast("int") - 1)
+        every = F.transform(masks, lambda m: F.filter("sets", lambda g, i: F.pmod(F.floor(m / F.pow(F.lit(2.0), i)), F.lit(2)) == 1))
+        asked = kinds.where(few_sets).select("sets", F.explode(every).alias("part"))
+        # kinds in many groups take part in the counts of the others' sets, but not by all their own sets
+        inside = asked.select("part").distinct().withColumn("g", F.col("part")[0]).join(kinds.where(~few_sets).select(F.explode("sets").alias("g"), "sets", "_w"), "g")
+        inside = inside.where(F.size(F.array_except("part", "sets")) == 0).select("part", "_w")
+        counted = kinds.where(few_sets).select(F.explode(every).alias("part"), "_w").unionByName(inside).groupBy("part").agg(F.sum("_w").alias("_in"))
+        signed = F.when(F.size("part") % 2 == 1, F.col("_in")).otherwise(-F.col("_in"))
+        by_few = asked.join(counted, "part").groupBy("sets").agg(F.sum(signed).alias("_reach"))
+        each = kinds.select(F.explode("sets").alias("g"), "sets", "_w")
+        met = each.where(~few_sets).select("g", F.col("sets").alias("own")).join(each, "g").groupBy("own", "sets").agg(F.max("_w").alias("_w"))
+        by_many = met.groupBy("own").agg(F.sum("_w").alias("_reach")).withColumnRenamed("own", "sets")
+        through_large = of_kind.join(by_few.unionByName(by_many), "sets").select("doc", (F.col("_reach") - F.col("_w")).alias("others"))
+
+        pairs = self.direct.select("a", "b").unionByName(self._within(self.groups.where(F.col("size") <= self.few))).distinct()
+        sets = of_kind.select("doc", "sets")
+        known = pairs.join(sets.select(F.col("doc").alias("a"), F.col("sets").alias("_sa")), "a", "left").join(sets.select(F.col("doc").alias("b"), F.col("sets").alias("_sb")), "b", "left")
+        new = known.where(~F.coalesce(F.arrays_overlap("_sa", "_sb"), F.lit(False))).select("a", "b")
+        both = new.select(F.col("a").alias("doc"), F.col("b").alias("rep")).unionByName(new.select(F.col("b").alias("doc"), F.col("a").alias("rep")))
+        through_few = both.join(sizes, "rep", "left").select("doc", F.coalesce("size", F.lit(1)).alias("others"))
+        return through_large.unionByName(through_few).groupBy("doc").agg(F.sum("others").alias("others"))
+
     def per_document(self, docs: DataFrame) -> DataFrame:
         """``doc_id``, ``class_id``, ``links``, ``shared_chars``, ``n_chars`` of every document with an id.
 
-        ``class_id`` is the smallest id with the same text; ``links`` counts the
-        documents that share a span with this one, copies included;
-        ``shared_chars`` counts the characters that lie in any shared span.
+        ``class_id`` is the smallest id with the same text (of SPAN characters or
+        more); ``links`` counts the documents that share a span with this one, copies
+        included; ``shared_chars`` counts the characters that lie in any shared span.
+        No pairs of documents are made for a span of many texts; see ``_links``.
         """
         runs = self.direct.select(F.col("a").alias("doc"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("chars")).alias("e"))
         runs = runs.unionByName(self.direct.select(F.col("b").alias("doc"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("chars")).alias("e")))
@@ -204,10 +283,7 @@ class SharedSpans:
         longest = runs.groupBy("doc", "s").agg(F.max("e").alias("e"))
         so_far = F.max("e").over(Window.partitionBy("doc").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
         covered = longest.withColumn("_until", F.coalesce(so_far, F.lit(0))).groupBy("doc").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest("s", "_until"))).cast("long").alias("covered"))
-        sizes = self.copies.where("doc = rep").select("rep", "size")
-        both = self.pairs.select(F.col("a").alias("doc"), F.col("b").alias("rep")).unionByName(self.pairs.select(F.col("b").alias("doc"), F.col("a").alias("rep")))
-        links = both.join(sizes, "rep", "left").groupBy("doc").agg(F.sum(F.coalesce("size", F.lit(1))).alias("others"))
-        known = covered.join(links, "doc", "full").withColumnRenamed("doc", "rep")
+        known = covered.join(self._links(), "doc", "full").withColumnRenamed("doc", "rep")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars")).where("doc is not null")
         full = rows.join(self.copies, "doc", "left").withColumn("rep", F.coalesce("rep", "doc")).join(known, "rep", "left")
         return full.select(
