@@ -38,3 +38,22 @@ def test_empty_sides(spark):
     kinds = {"k": asof.versions(lk, "k", F.col("e"), F.col("f"), F.col("t"))}
     assert [tuple(r) for r in asof.as_of(ev, "id", F.col("e"), F.col("at"), kinds).collect()] == [(1, None, None, False)]
     assert asof.as_of(ev.where("false"), "id", F.col("e"), F.col("at"), kinds).count() == 0
+
+
+def test_long_lists_of_large_entities_are_joined_by_shuffle(spark):
+    rnd = random.Random(8)
+    events = [(i, f"d{rnd.randrange(6)}", rnd.randrange(10**9)) for i in range(2000)]
+    looks = [(f"d{rnd.randrange(6)}", rnd.randrange(10**9), rnd.choice("abc")) for _ in range(600)]
+    ev, lk = spark.createDataFrame(events, "id long, e string, at long"), spark.createDataFrame(looks, "e string, f long, t string")
+    run = lambda **x: {tuple(r) for r in asof.as_of(ev, "id", F.col("e"), F.col("at"), {"k": asof.versions(lk, "k", F.col("e"), F.col("f"), F.col("t"))}, 40, 20, **x).collect()}
+    want = run()
+    assert len(want) == 2000 and any(r[3] for r in want)
+    assert run(most_listed=0) == want == {tuple(r) for r in asof.as_of(ev, "id", F.col("e"), F.col("at"), {"k": asof.versions(lk, "k", F.col("e"), F.col("f"), F.col("t"))}).collect()}
+
+
+def test_slices_hold_what_they_should(spark):
+    lk = spark.createDataFrame([("a", i * 60_000_000 + j, "x") for i in range(50) for j in range(3)] + [("b", 5, "y")], "e string, f long, t string")
+    cuts = {r["entity"]: r["_cuts"] for r in asof._cuts(asof.versions(lk, "k", F.col("e"), F.col("f"), F.col("t")), 10).collect()}
+    assert set(cuts) == {"a"}
+    bounds = [0, *[c // 60_000_000 for c in cuts["a"]], 50]
+    assert all(3 * (b - a) <= 10 + 3 for a, b in zip(bounds, bounds[1:])) and bounds == sorted(set(bounds))

@@ -24,8 +24,8 @@ from wardline.shipping import ship
 
 ROWS_PER_BUCKET = 60_000
 VERSIONS_PER_SLICE = 100_000
-#: No more entities than this can be hot, so their list may be broadcast at any scale.
-MOST_HOT = 20_000
+#: Up to so many entities with many events or versions their list is broadcast; a longer one is joined by shuffle.
+MOST_LISTED = 20_000
 _VERSION = "kind string, entity string, available long, v1 string, v2 long"
 
 
@@ -74,19 +74,30 @@ def _slice(at: Column) -> Column:
     return F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= at)))
 
 
+def _cuts(known: DataFrame, per_slice: int) -> DataFrame:
+    """``entity``, ``_cuts``: times that cut an entity's versions into slices of ``per_slice`` and one minute's versions at most."""
+    minute = F.floor(F.col("available") / F.lit(60_000_000)).cast("long") * F.lit(60_000_000)
+    per_minute = known.groupBy("entity", minute.alias("_t")).agg(F.count("*").alias("_n"))
+    in_time = Window.partitionBy("entity").orderBy("_t")
+    before = F.sum("_n").over(in_time.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = per_minute.withColumn("_k", F.floor(F.coalesce(before, F.lit(0)) / F.lit(per_slice)))
+    firsts = numbered.groupBy("entity", "_k").agg(F.min("_t").alias("_t")).where("_k > 0")
+    return firsts.groupBy("entity").agg(F.array_sort(F.collect_list("_t")).alias("_cuts"))
+
+
 def _with_carry(known: DataFrame) -> DataFrame:
     """Versions with their ``_slice``; each slice but an entity's first also gets the last version before it, per kind."""
     own = known.withColumn("_slice", _slice(F.col("available")))
-    last = own.where("_cuts is not null").groupBy("kind", "entity", "_slice").agg(F.max_by(F.struct("available", "v1", "v2"), "available").alias("v"), F.max(F.size("_cuts")).alias("_n"))
-    every = last.groupBy("kind", "entity").agg(F.max("_n").alias("_n")).select("kind", "entity", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_slice"))
-    so_far = Window.partitionBy("kind", "entity").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 100 rows
-    carried = every.join(last.drop("_n"), ["kind", "entity", "_slice"], "left").withColumn("v", F.last("v", ignorenulls=True).over(so_far)).where("v is not null")
-    columns = ["kind", "entity", "available", "v1", "v2", "_slice"]
-    return own.select(columns).unionByName(carried.select("kind", "entity", "v.available", "v.v1", "v.v2", "_slice"))
+    last = own.where("_cuts is not null").groupBy("kind", "entity", "_slice").agg(F.max_by(F.struct("available", "v1", "v2"), "available").alias("v"), F.max(F.size("_cuts")).alias("_n"), F.max("_salts").alias("_salts"))
+    every = last.groupBy("kind", "entity").agg(F.max("_n").alias("_n"), F.max("_salts").alias("_salts")).select("kind", "entity", "_salts", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_slice"))
+    so_far = Window.partitionBy("kind", "entity").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    carried = every.join(last.drop("_n", "_salts"), ["kind", "entity", "_slice"], "left").withColumn("v", F.last("v", ignorenulls=True).over(so_far)).where("v is not null")
+    columns = ["kind", "entity", "available", "v1", "v2", "_salts", "_slice"]
+    return own.select(columns).unionByName(carried.select("kind", "entity", "v.available", "v.v1", "v.v2", "_salts", "_slice"))
 
 
 def as_of(
-    events: DataFrame, row_id: str, entity: Column, at: Column, kinds: Mapping[str, DataFrame], rows_per_bucket: int = ROWS_PER_BUCKET, versions_per_slice: int = VERSIONS_PER_SLICE
+    events: DataFrame, row_id: str, entity: Column, at: Column, kinds: Mapping[str, DataFrame], rows_per_bucket: int = ROWS_PER_BUCKET, versions_per_slice: int = VERSIONS_PER_SLICE, most_listed: int = MOST_LISTED
 ) -> DataFrame:
     """Per event the values of the latest version of each kind available at its time.
 
@@ -95,7 +106,7 @@ def as_of(
     Events with a null id, entity or time are left out; ``row_id`` must be a whole
     number, and an event that repeats one comes out again; other columns are not read. Entities without
     versions come out with nothing known; without events there are no rows. The
-    two sizes only choose the way, not the result.
+    three sizes only choose the way, not the result.
     """
     spark = events.sparkSession
     ship(spark)
@@ -104,37 +115,38 @@ def as_of(
     for name, df in kinds.items():
         part = df.select(F.lit(name).alias("kind"), "entity", "available", "v1", "v2")
         known = part if known is None else known.unionByName(part)
-    total = events.count()
-    buckets = shuffle_width(spark, total, rows_per_bucket)
-    limit = max(rows_per_bucket // 4, -(-total // MOST_HOT))
-    hot = rows.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("entity", F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
-    hot_rows = [tuple(r) for r in hot.collect()]  # fewer than MOST_HOT: each stands for over total / MOST_HOT events
-    counted = known.groupBy("entity").agg(F.count("*").alias("_n")).where(F.col("_n") > versions_per_slice)
-    # the rest, if any, would be under total / MOST_HOT versions each
-    crowded = [tuple(r) for r in counted.orderBy(F.col("_n").desc(), "entity").limit(MOST_HOT).collect()]
-
-    def with_salts(df: DataFrame) -> DataFrame:
-        if not hot_rows:
-            return df.withColumn("_salts", F.lit(1))
-        listed = F.broadcast(spark.createDataFrame(hot_rows, "entity string, _salts int"))
-        return df.join(listed, "entity", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
-
-    place = F.pmod(F.xxhash64("entity", "_slice", "_salt"), F.lit(buckets)).cast("int").alias("bucket")
-    if crowded:
-        listed = F.broadcast(spark.createDataFrame(crowded, "entity string, _n long"))
-        fractions = known.join(listed, "entity").groupBy("entity").agg(F.max("_n").alias("_n"), F.percentile_approx("available", [i / 100 for i in range(1, 100)], 1000).alias("_p"))
-        steps = F.greatest(F.lit(1), F.floor(F.lit(99) * versions_per_slice / F.col("_n")).cast("int"))
-        cuts, _ = materialize(fractions.select("entity", F.array_distinct(F.filter("_p", lambda x, i: i % steps == 0)).alias("_cuts")), "cuts")
-        cuts = F.broadcast(cuts)  # at most MOST_HOT rows of 99 cuts
-        sliced = rows.join(cuts, "entity", "left").withColumn("_slice", _slice(F.col("at"))).drop("_cuts")
-        known = _with_carry(known.join(cuts, "entity", "left"))
+    buckets = max(shuffle_width(spark, 0, 1), -(-events.count() // rows_per_bucket))
+    limit = max(1, rows_per_bucket // 4)
+    counts = rows.groupBy("entity").agg(F.count("*").alias("_n"), F.lit(0).cast("long").alias("_m")).unionByName(known.groupBy("entity").agg(F.lit(0).cast("long").alias("_n"), F.count("*").alias("_m")))
+    large = counts.groupBy("entity").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")).where((F.col("_n") > limit) | (F.col("_m") > versions_per_slice))
+    large, _ = materialize(large.select("entity", F.greatest(F.lit(1), F.ceil(F.col("_n") / limit)).cast("int").alias("_salts"), (F.col("_m") > versions_per_slice).alias("_crowded")), "large-entities")
+    n_large, n_crowded = large.agg(F.count("*"), F.count_if("_crowded")).first()
+
+    def listed(df: DataFrame) -> DataFrame:
+        # counted above; a longer list is joined by shuffle, where adaptive execution splits hot entities
+        return F.broadcast(df) if n_large <= most_listed else df
+
+    if n_crowded:
+        of_crowded = known.join(listed(large.where("_crowded").select("entity")), "entity", "left_semi")
+        large, _ = materialize(large.join(_cuts(of_crowded, versions_per_slice), "entity", "left").select("entity", "_salts", "_cuts"), "sliced-entities")
     else:
-        sliced, known = rows.withColumn("_slice", F.lit(0)), known.withColumn("_slice", F.lit(0))
-    salted = with_salts(sliced).withColumn("_salt", F.pmod(F.xxhash64("row"), F.col("_salts")).cast("int"))
-    spread = with_salts(known).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+        large = large.select("entity", "_salts", F.lit(None).cast("array<bigint>").alias("_cuts"))
+
+    def with_large(df: DataFrame) -> DataFrame:
+        if not n_large:
+            return df.withColumns({"_salts": F.lit(1), "_cuts": F.lit(None).cast("array<bigint>")})
+        return df.join(listed(large), "entity", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    def place(salt: Column) -> Column:
+        return F.pmod(F.xxhash64("entity", "_slice", salt), F.lit(buckets)).cast("int")
+
+    sliced = with_large(rows).withColumn("_slice", _slice(F.col("at")))
+    salted = sliced.select(place(F.pmod(F.xxhash64("row"), F.col("_salts")).cast("int")).alias("bucket"), "row", "entity", "at")
+    cut = with_large(known)
+    sliced_versions = _with_carry(cut) if n_crowded else cut.withColumn("_slice", F.lit(0))
     # several salts of one entity may fall into one bucket: its versions go there once
-    dealt = spread.select(place, "kind", "entity", "available", "v1", "v2").distinct()
+    everywhere = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("_salts") - 1), place))
+    dealt = sliced_versions.select(F.explode(everywhere).alias("bucket"), "kind", "entity", "available", "v1", "v2")
     join, schema = _bucket_join(list(kinds))
-    left = salted.select(place, "row", "entity", "at").groupBy("bucket")
-    joined = left.cogroup(dealt.groupBy("bucket")).applyInArrow(join, schema)
+    joined = salted.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(join, schema)
     return joined.select(F.col("row").alias(row_id), *[F.col(f"{c}_{i}").alias(f"{k}_{n}") for i, k in enumerate(kinds) for c, n in (("v1", "v1"), ("v2", "v2"), ("has", "known"))])
