@@ -28,3 +28,11 @@ def test_empty(spark):
     df = spark.createDataFrame([], "g string, i long, s double")
     assert topn.top_n(df, "g", "s", "i", 3).columns == ["g", "i", "s", "rank"]
     assert topn.top_n(df, "g", "s", "i", 3).count() == 0
+
+
+def test_unique_pairs_need_one_shuffle_less(spark):
+    from tests.oracle import plan_of
+
+    df = spark.createDataFrame([(f"g{i % 3}", i, float(i % 10)) for i in range(90)], "g string, i long, s double")
+    a, b = topn.top_n(df, "g", "s", "i", 4), topn.top_n(df, "g", "s", "i", 4, unique=True)
+    assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()} and plan_of(b).count("Exchange") == plan_of(a).count("Exchange") - 1
