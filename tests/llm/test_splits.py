@@ -72,3 +72,34 @@ def test_records_of_a_group_share_a_split(spark):
 def test_no_records(spark):
     df = spark.createDataFrame([], "id long, d string, s string")
     assert splits.split_records(df, F.col("d"), F.col("s"), "id", {"a": 1.0, "b": 1.0}).count() == 0
+
+
+def test_earlier_splits_stay(spark):
+    rnd = random.Random(5)
+    rows = [(i, f"d{rnd.randrange(300)}", f"s{rnd.randrange(900)}" if rnd.random() < 0.04 else None) for i in range(3000)] + [(5000 + i, "big", None) for i in range(900)]
+    want = {"train": 0.7, "test": 0.3}
+    schema = "id long, d string, s string"
+    before = splits.split_records(spark.createDataFrame(rows, schema), F.col("d"), F.col("s"), "id", want).collect()
+    domain = {i: d for i, d, _ in rows}
+    old = {domain[r["id"]]: r["split"] for r in before}
+    # some domains grow, new ones come, and one new source ties two old groups of different splits
+    a, b = next((x, y) for x in old for y in old if old[x] != old[y] and "big" not in (x, y))
+    rows += [(10_000 + i, rnd.choice(["d1", "d2", "big", f"e{i % 70}"]), None) for i in range(2500)] + [(20_000, a, "new-tie"), (20_001, b, "new-tie")]
+    previous = spark.createDataFrame(list(old.items()), "entity string, split string")
+    domain = {i: d for i, d, _ in rows}
+    after = splits.split_records(spark.createDataFrame(rows, schema), F.col("d"), F.col("s"), "id", want, previous=previous).collect()
+    now = {domain[r["id"]]: r["split"] for r in after}
+    assert len(after) == len(rows) and now[a] == now[b]
+    tied = brute([(d, f"~{s}") for _, d, s in rows if s])
+    moved = {d for d in old if now[d] != old[d]}
+    assert moved and moved <= {d for d in old if tied.get(d) == tied[a]}
+    assert all(len({r["split"] for r in after if domain[r["id"]] == d}) == 1 for d in ("d1", "big", "e3"))
+
+
+def test_result_scans_the_records_once(spark, tmp_path):
+    from tests.oracle import plan_of
+
+    spark.createDataFrame([(i, f"d{i % 7}", f"s{i % 11}") for i in range(50)], "id long, d string, s string").write.parquet(str(tmp_path / "t"))
+    got = splits.split_records(spark.read.parquet(str(tmp_path / "t")), F.col("d"), F.col("s"), "id", {"a": 0.5, "b": 0.5})
+    # the other scan was for the pairs of entity and source, which were written down
+    assert plan_of(got).count("FileScan parquet [id#") == 1 and "s#" not in plan_of(got).split("FileScan parquet [id#")[1].split("]")[0]
