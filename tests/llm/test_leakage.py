@@ -79,3 +79,26 @@ def test_pieces_cover_every_window(monkeypatch):
     for a, b in K.pieces(len(h), 8, 60):
         parts |= set((a + K.window_minima(h[a:b], 8)).tolist())
     assert parts == whole
+
+
+def test_a_passage_that_all_have(spark):
+    rnd = random.Random(6)
+    common = " ".join(f"c{k}" for k in range(20))
+    docs = [(d, f"{common} " + " ".join(f"w{rnd.randrange(50)}" for _ in range(40)) + f" {common}") for d in range(120)]
+    items = [(i, " ".join(f"v{rnd.randrange(50)}" for _ in range(10)) + f" {common}") for i in range(60)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for most in (leakage.MOST_SHIPPED, 100):
+        df = leakage.leaks(d, i, most)
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        rows = df.collect()
+        assert len(rows) == 2 * 120 * 60 and {(r["item_start"], r["words"]) for r in rows} == {(10, 20)}
+
+
+def test_hits_in_parts_are_the_same(monkeypatch):
+    rnd = random.Random(10)
+    text = lambda n: " ".join(f"w{rnd.randrange(2)}" for _ in range(n))
+    items = leakage.Items([1, 2], [text(300), text(200)])
+    docs = [text(400), text(100)]
+    whole = leakage.matches(docs, items)
+    monkeypatch.setattr(leakage, "HITS", 7)
+    assert (leakage.matches(docs, items) == whole).all() and len(whole)

@@ -5,14 +5,17 @@ lower-cased). Of every ``WINDOW`` consecutive hashes of ``GRAM`` words the least
 kept, on both sides by the same rule, so a shared run of GRAM + WINDOW - 1 words
 always shares a kept hash. Hits are extended word by word to the whole shared run.
 
-The test side's fingerprints go to every task while their number is below
-``MOST_SHIPPED``, and the corpus is then one pass without a shuffle; above that,
-fingerprints of both sides are joined, and texts are looked up for the hits.
+The test side's fingerprints go to every task, ``MOST_SHIPPED`` at a time: a larger
+test side is cut into slices, and the corpus is one pass without a shuffle for
+each. No fingerprint is a key of a shuffle, so one that every text has costs no
+task more than others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +23,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import windows as K
-from wardline.scratch import materialize
 from wardline.shipping import ship
 
 GRAM, SHARED_WORDS = 5, 12
 WINDOW = SHARED_WORDS - GRAM + 1
-MOST_SHIPPED = 2_000_000
+MOST_SHIPPED = 1_000_000
+#: Hits that are extended at a time, some 100 MB.
+HITS = 1 << 20
 BATCH_CHARS = 1 << 21
 SCHEMA = "doc_id long, item_id long, doc_start int, item_start int, words int"
 
 
+class Sums:
+    """Prefix sums of a sequence of words, by which any two stretches compare at once."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        up, self.down = K.powers(len(words))
+        self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(K.mix(words) * up[: len(words)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the ``n`` words from each start."""
+        return (self.sums[start + n] - self.sums[start]) * self.down[start]
+
+
 class Items:
     """The test side: words, and fingerprints sorted by hash."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         self.ids = np.asarray(ids, dtype=np.int64)
         self.words, self.offsets = K.word_arrays(texts)
+        self.sums = Sums(self.words)
         grams, item, place = _fingerprints(self.words, self.offsets)
         order = np.argsort(grams, kind="stable")
         self.grams, self.item, self.place = grams[order], item[order], place[order]
 
+    def __getstate__(self) -> dict:
+        # what can be computed again doesn't travel
+        return {k: v for k, v in self.__dict__.items() if k != "sums"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.sums = Sums(self.words)
+
 
 def _fingerprints(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Kept hashes of each text, the text's number and the place in all words."""
@@ -54,31 +80,25 @@ def _fingerprints(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return grams[place], text, place
 
 
-def _extend(words: np.ndarray, offsets: np.ndarray, text: np.ndarray, place: np.ndarray, items: Items, item: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows (text, item, start in text, start in item, words) of runs of at least SHARED_WORDS."""
-    # hits of one run lie on one diagonal; the first one's extension covers the others
-    diagonal = place - at
-    order = np.lexsort((place, diagonal, item, text))
-    found: list[tuple[int, int, int, int, int]] = []
-    last = (-1, -1, 0)
-    until = -1
-    for k in order.tolist():
-        this = (int(text[k]), int(item[k]), int(diagonal[k]))
-        p, q = int(place[k]), int(at[k])
-        if this == last and p < until:
-            continue
-        t0, t1 = int(offsets[this[0]]), int(offsets[this[0] + 1])
-        i0, i1 = int(items.offsets[this[1]]), int(items.offsets[this[1] + 1])
-        back = min(p - t0, q - i0)
-        differs = np.flatnonzero(words[p - back : p][::-1] != items.words[q - back : q][::-1])
-        left = int(differs[0]) if len(differs) else back
-        ahead = min(t1 - p, i1 - q)
-        differs = np.flatnonzero(words[p : p + ahead] != items.words[q : q + ahead])
-        right = int(differs[0]) if len(differs) else ahead
-        last, until = this, p + right
-        if left + right >= SHARED_WORDS:
-            found.append((this[0], this[1], p - left - t0, q - left - i0, left + right))
-    return np.asarray(found, dtype=np.int64).reshape(-1, 5)
+def _longest(most: np.ndarray, same: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Per hit the greatest length up to ``most`` at which the two stretches are the same, by halving."""
+    low, high = np.zeros_like(most), most.copy()
+    while (low < high).any():
+        middle = (low + high + 1) >> 1
+        good = same(middle)
+        low, high = np.where(good, middle, low), np.where(good, high, middle - 1)
+    return low
+
+
+def _extend(sums: Sums, offsets: np.ndarray, text: np.ndarray, place: np.ndarray, items: Items, item: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows (text, item, start in text, start in item, words) of runs of at least SHARED_WORDS, each once."""
+    back = np.minimum(place - offsets[text], at - items.offsets[item])
+    ahead = np.minimum(offsets[text + 1] - place, items.offsets[item + 1] - at)
+    left = _longest(back, lambda n: sums.of(place - n, n) == items.sums.of(at - n, n))
+    right = _longest(ahead, lambda n: sums.of(place, n) == items.sums.of(at, n))
+    long = left + right >= SHARED_WORDS
+    rows = np.stack([text, item, place - left - offsets[text], at - left - items.offsets[item], left + right], axis=1)[long]
+    return np.unique(rows, axis=0)
 
 
 def matches(texts: list[str], items: Items) -> np.ndarray:
@@ -90,10 +110,16 @@ def matches(texts: list[str], items: Items) -> np.ndarray:
     hit = np.flatnonzero(many)
     if not len(hit):
         return np.empty((0, 5), dtype=np.int64)
-    each = many[hit]
-    which = np.repeat(hit, each)
-    entry = np.repeat(first[hit] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-    return _extend(words, offsets, text[which], place[which], items, items.item[entry], items.place[entry])
+    sums = Sums(words)
+    ends = np.cumsum(many[hit])
+    found = []
+    for low in range(0, int(ends[-1]), HITS):
+        k = np.arange(low, min(low + HITS, int(ends[-1])))
+        x = np.searchsorted(ends, k, side="right")
+        which = hit[x]
+        entry = first[which] + (k - (ends[x] - many[which]))
+        found.append(_extend(sums, offsets, text[which], place[which], items, items.item[entry], items.place[entry]))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found), axis=0)
 
 
 def batches_of(ids: Iterator[tuple[list, list[str | None]]], most: int = BATCH_CHARS) -> Iterator[tuple[list, list[str]]]:
@@ -132,44 +158,26 @@ def leaks(docs: DataFrame, items: DataFrame, most_shipped: int = MOST_SHIPPED) -
     ``doc_id``, ``item_id``, the word each run starts with in either text (from 0),
     and its ``words``. Null texts and texts of fewer words have none; empty tables
     give no rows; other columns are not read. Repeated documents each count.
+    ``most_shipped`` only chooses the number of passes, not the result.
     """
     spark = docs.sparkSession
     ship(spark)
     docs, items = _prepared(docs, items)
-    words = items.agg(F.sum(F.length("text") / 2)).first()[0] or 0
-    if words * 2 / (WINDOW + 1) > most_shipped:
-        return _leaks_by_join(docs, items)
-    table = items.orderBy("item_id").toArrow()  # bounded by most_shipped fingerprints, checked above
-    side = spark.sparkContext.broadcast(Items(table.column("item_id").to_pylist(), table.column("text").to_pylist()))
-
+    chars, n_items = items.agg(F.sum(F.length("text")), F.count("*")).first()
+    # a word takes two characters at least, and of WINDOW + 1 fingerprints two are kept on average
+    slices = min(max(n_items, 1), math.ceil((chars or 0) / (WINDOW + 1) / max(most_shipped, 1)) or 1)
+    passes = []
+    for i in range(slices):
+        mine = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i)
+        table = mine.orderBy("item_id").toArrow()  # bounded by most_shipped fingerprints on average
+        if table.num_rows or not i:
+            passes.append(docs.mapInArrow(_finder(spark.sparkContext.broadcast(Items(table.column("item_id").to_pylist(), table.column("text").to_pylist()))), SCHEMA))
+    return functools.reduce(DataFrame.unionByName, passes)
+
+
+def _finder(side) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in batches_of((b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for b in batches):
             yield _rows(ids, matches(texts, side.value), side.value)
 
-    return docs.mapInArrow(find, SCHEMA)
-
-
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, id) of every kept fingerprint, once per text."""
-    for ids, texts in batches_of((b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches):
-        words, offsets = K.word_arrays(texts)
-        grams, text, _ = _fingerprints(words, offsets)
-        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.asarray(ids, dtype=np.int64)[text])], ["gram", "id"])
-
-
-def _extend_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for doc, text, ids, texts in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "ids", "texts"))):
-            items = Items(ids, texts)
-            yield _rows([doc], matches([text], items), items)
-
-
-def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same for a test side of any size: fingerprints of both sides are joined by hash."""
-    of_docs, _ = materialize(docs.mapInArrow(_kept, "gram long, id long").withColumnRenamed("id", "doc_id"), "fingerprints")
-    of_items = items.mapInArrow(_kept, "gram long, id long").distinct().withColumnRenamed("id", "item_id")
-    pairs = of_docs.join(of_items, "gram").groupBy("doc_id", "item_id").agg(F.lit(1).alias("_one"))
-    # a few items at a time travel with a document, so a document that hits many stays small
-    with_items = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(64)))
-    grouped = with_items.groupBy("doc_id", "_part").agg(F.collect_list("item_id").alias("ids"), F.collect_list("item_text").alias("texts"))
-    return grouped.join(docs, "doc_id").select("doc_id", "text", "ids", "texts").mapInArrow(_extend_pairs, SCHEMA)
+    return find
