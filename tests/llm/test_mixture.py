@@ -50,3 +50,21 @@ def test_empty(spark):
     entries, total = mixture.plan(sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets)
     assert total == 0 and mixture.draw(sizes, mixture.as_table(spark, entries)).count() == 0
     assert mixture.short_sources(sizes.select("source", "tokens"), targets).count() == 0
+
+
+def test_long_texts_count_as_in_one_piece(monkeypatch):
+    rnd = random.Random(2)
+    encoder = mixture._encoder(mixture.TOKENIZER)
+    alphabets = ["abcde", "日本語文字列", "abcXYZ0123456789+/", "ab'sd t'll ", "-.,'s\n  x1 ", "a\u0301é\x1c\x85\u3000 b'", "   \n"]
+    monkeypatch.setattr(mixture, "PART_CHARS", 50)
+    for k in range(140):
+        text = "".join(rnd.choice(alphabets[k % 7]) for _ in range(700)) + "".join(rnd.choice("".join(alphabets)) for _ in range(300))
+        parts = list(mixture._parts(text))
+        assert "".join(parts) == text and (len(parts) > 5 or k % 7 in (0, 1, 6))
+        assert sum(len(encoder.encode_ordinary(p)) for p in parts) == len(encoder.encode_ordinary(text))
+
+
+def test_rounds_of_water_filling():
+    shares = mixture.water_fill({"a": 10, "b": 40, "c": 1000}, {"a": (0.4, 2), "b": (0.2, 4), "c": (0.4, 9)}, 600)
+    assert {s: x.round for s, x in shares.items()} == {"a": 1, "b": 2, "c": 0}
+    assert sum(x.repeats * {"a": 10, "b": 40, "c": 1000}[s] for s, x in shares.items()) == pytest.approx(600)

@@ -9,11 +9,13 @@ fraction by a seeded hash of the record's id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The table of targets is a parameter of the mixture and small by nature; more sources than this are refused.
 MOST_SOURCES = 100_000
-#: Longer texts are counted in parts that end before white space, as no token spans such a place.
+#: Longer texts are counted in parts of at least so many characters, cut where no token reaches across.
 PART_CHARS = 1 << 16
 
 
@@ -39,16 +41,18 @@ def _encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Between these two characters no token of PATTERN reaches across: before a blank, and where the kind of character changes (an apostrophe may begin a contraction).
+_BORDER = regex.compile(r"(?<=\S)(?=[ \t\r\n])|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
+
+
 def _parts(text: str) -> Iterator[str]:
     start = 0
     while len(text) - start > PART_CHARS:
-        cut = text.rfind(" ", start + 1, start + PART_CHARS)
-        while cut > start and text[cut - 1].isspace():
-            cut = text.rfind(" ", start + 1, cut)
-        if cut <= start:
-            cut = start + PART_CHARS
-        yield text[start:cut]
-        start = cut
+        border = _BORDER.search(text, start + PART_CHARS)
+        if border is None:
+            break
+        yield text[start : border.start()]
+        start = border.start()
     yield text[start:]
 
 
@@ -72,33 +76,41 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER
 
 @dataclass(frozen=True)
 class Share:
-    """What a source contributes: its copies per record, and whether it is clamped at the cap."""
+    """What a source contributes: its copies per record, and the round in which it was clamped at the cap (0: never)."""
 
     repeats: float
-    clamped: bool
+    round: int
+
+    @property
+    def clamped(self) -> bool:
+        return self.round > 0
 
 
 def water_fill(tokens: Mapping[str, int], targets: Mapping[str, tuple[float, float]], size: float) -> dict[str, Share]:
     """Repetitions per source for a mixture of ``size`` tokens.
 
-    ``targets`` has each source's share and cap. Weight that clamped sources can't
-    take goes to the free ones in proportion to their shares; when all are
-    clamped, the mixture stays smaller than wanted. Sources without tokens give
-    nothing.
+    ``targets`` has each source's share and cap. A source whose tokens, repeated
+    the most allowed, are fewer than its share of the size is clamped in the first
+    round; weight that clamped sources can't take goes to the free ones in proportion to
+    their shares, which may clamp more of them in the next. When all are clamped,
+    the mixture stays smaller than wanted. Sources without tokens are clamped at
+    once and give nothing; those without a share take no part.
     """
-    free = {s for s, (w, cap) in targets.items() if tokens.get(s, 0) > 0 and w > 0 and cap > 0}
-    clamped: set[str] = set()
+    room = {s: tokens.get(s, 0) * max(cap, 0.0) for s, (_, cap) in targets.items()}
+    free = {s for s, (w, _) in targets.items() if w > 0}
+    out = dict.fromkeys(targets, Share(0.0, 0))
+    number, left = 0, float(size)
     while free:
-        left = size - sum(tokens[s] * targets[s][1] for s in clamped)
-        weight = sum(targets[s][0] for s in free)
-        over = {s for s in free if left * targets[s][0] / weight > tokens[s] * targets[s][1]}
+        number += 1
+        weight = math.fsum(targets[s][0] for s in free)
+        over = {s for s in free if left * targets[s][0] / weight > room[s]}
         if not over:
             break
-        clamped |= over
         free -= over
-    left = max(0.0, size - sum(tokens[s] * targets[s][1] for s in clamped))
-    weight = sum(targets[s][0] for s in free)
-    return {s: Share(targets[s][1], True) if s in clamped else Share(left * targets[s][0] / weight / tokens[s], False) if s in free else Share(0.0, False) for s in targets}
+        out |= {s: Share(float(targets[s][1]) if room[s] > 0 else 0.0, number) for s in over}
+        left = max(0.0, size - math.fsum(room[s] for s in out if out[s].clamped))
+    weight = math.fsum(targets[s][0] for s in free)
+    return out | {s: Share(left * targets[s][0] / weight / tokens[s] if tokens.get(s) else 0.0, 0) for s in free}
 
 
 def unique_targets(targets: DataFrame, source: Column) -> DataFrame:
@@ -122,25 +134,28 @@ def plan(per_source: DataFrame, targets: DataFrame) -> tuple[list[dict], int]:
     wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in rows}
     shares = water_fill(tokens, wanted, float(total))
     return [
-        {"source": s, "tokens": tokens[s], "target_share": wanted[s][0], "max_repeats": wanted[s][1], "repeats": shares[s].repeats, "clamped": shares[s].clamped} for s in sorted(wanted)
+        {"source": s, "tokens": tokens[s], "target_share": wanted[s][0], "max_repeats": wanted[s][1], "repeats": shares[s].repeats, "clamped": shares[s].clamped, "round": shares[s].round} for s in sorted(wanted)
     ], int(total)
 
 
 def as_table(spark, entries: list[dict]) -> DataFrame:
     """The plan as a DataFrame, one row per target source."""
-    return spark.createDataFrame([tuple(e.values()) for e in entries], "source string, tokens long, target_share double, max_repeats double, repeats double, clamped boolean")
+    return spark.createDataFrame([tuple(e.values()) for e in entries], "source string, tokens long, target_share double, max_repeats double, repeats double, clamped boolean, `round` int")
+
+
+def uniform(seed: int, key: Column) -> Column:
+    """A number in (0, 1) from the MD5 of the seed and the key, which any SQL engine has too."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key)), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
 
 
 def draw(docs: DataFrame, planned: DataFrame, seed: int = 17) -> DataFrame:
     """``doc_id``, ``source``, ``tokens``, ``copies`` of each document that is drawn at least once."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") / float(2**53)
+    u = uniform(seed, F.col("doc_id").cast("string"))
     whole = F.floor("repeats").cast("int")
     rows = docs.select("doc_id", "source", "tokens").join(F.broadcast(planned.select("source", "repeats")), "source")  # at most MOST_SOURCES rows
     return rows.select("doc_id", "source", "tokens", (whole + F.when(u < F.col("repeats") - whole, 1).otherwise(0)).alias("copies")).where("copies > 0")
 
 
 def short_sources(per_source: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sources whose tokens, repeated the most allowed, are fewer than their share of all tokens."""
-    entries, total = plan(per_source, targets)
-    planned = as_table(targets.sparkSession, entries)
-    return planned.where(F.col("tokens") * F.col("max_repeats") < F.col("target_share") * F.lit(total)).select("source")
+    """Sources that the water-filling clamps in its first round: repeated the most allowed, they are smaller than their share of all tokens."""
+    return as_table(targets.sparkSession, plan(per_source, targets)[0]).where("`round` = 1").select("source")
