@@ -215,11 +215,12 @@ _KNOWN = f"""with w as (
   select {_domain("domain")} as domain, fetched_at, max(struct_pack(r := coalesce({fold_sql("registrar")}, ''), c := coalesce(created, timestamp '0001-01-01'))) as v
   from whois_cache where error is null group by 1, 2),
 g as (select {_domain("puny_domain")} as domain, fetched_at, max(nullif(regexp_replace(asn, '[^0-9]', '', 'g'), '')) as asn from dns_geo_cache where asn is not null group by 1, 2),
-o as (select id, {_domain("registered_domain")} as domain, event_ts, {fold_sql("registrar")} as registrar, whois_created, sample_asn from ct_observations where event_ts is not null),
+o as (select id, {_domain("registered_domain")} as domain, event_ts, {fold_sql("registrar")} as registrar, whois_created, sample_asn from ct_observations),
 known as (
   select o.*, nullif(w.v.r, '') as known_registrar, nullif(w.v.c, timestamp '0001-01-01') as known_created, g.asn as known_asn, w.domain is not null as whois_known, g.domain is not null as geo_known
   from o asof left join w on o.domain = w.domain and o.event_ts >= w.fetched_at asof left join g on o.domain = g.domain and o.event_ts >= g.fetched_at
-  where o.domain is not null)"""
+)"""
+_DATED = "domain is not null and event_ts is not null"
 _TIES = f"""with recursive pairs as (
   select distinct {_domain("registered_domain")} as d, {fold_sql("source")} as s from ct_observations where not {missing_sql("source")} and {fold_sql("source")} <> 'certstream'),
 edges as (
@@ -279,9 +280,9 @@ ORACLES = {
     "p6_found": f"{_BEST} select target_brand, observation_id from ranked where rank <= {N_BEST}",
     "p6_ranked": f"{_BEST} select target_brand, observation_id, risk_score, rank from ranked where rank <= {N_BEST}",
     "p7_found": f"""{_KNOWN}
-      select id as observation_id, 'registrar' as field from known where registrar is not null and registrar is distinct from known_registrar
-      union all select id, 'whois_created' from known where whois_created is not null and whois_created is distinct from known_created
-      union all select id, 'sample_asn' from known where sample_asn is not null and regexp_replace(sample_asn, '[^0-9]', '', 'g') is distinct from known_asn""",
+      select id as observation_id, 'registrar' as field from known where {_DATED} and registrar is not null and registrar is distinct from known_registrar
+      union all select id, 'whois_created' from known where {_DATED} and whois_created is not null and whois_created is distinct from known_created
+      union all select id, 'sample_asn' from known where {_DATED} and sample_asn is not null and regexp_replace(sample_asn, '[^0-9]', '', 'g') is distinct from known_asn""",
     "p7_known": f"{_KNOWN} select id as observation_id, known_registrar as registrar, known_created as whois_created, known_asn as asn_digits, whois_known, geo_known from known",
     "p8_found": """with d as (select doc_id as id, [lower(x) for x in regexp_extract_all(text, '[\\p{L}\\p{Nd}]+')] as w from documents),
       i as (select item_id as id, [lower(x) for x in regexp_extract_all(text, '[\\p{L}\\p{Nd}]+')] as w from eval_items),
