@@ -14,7 +14,7 @@ from wardline.plans.campaigns import _BRANDS, _MEMBERS, OWN, WATCHED, _members,
 from wardline.sources.feeds import read_since
 from wardline.tables import table
 
-HOT_ROWS, NEWEST_ROWS = 600, 5000
+HOT_ROWS = 600
 TIER2_CUT = 2.0
 
 
@@ -28,7 +28,7 @@ def newest_domains(spark: SparkSession, d: str, since: str | None = None) -> Dat
     """O2: of the rows stored since the bookmark, without one of all rows, the earliest of each domain.
 
     The reference stops at its newest 20,000 rows (CAP_ROWS) and moves its bookmark
-    past the others; here no row is cut off. The query's SQL still stops at ``NEWEST_ROWS``.
+    past the others; here no row is cut off.
     """
     fresh = read_since(table(spark, d, "ct_observations"), "created_at", since)
     rows = fresh.select("id", present_host(F.col("registered_domain")).alias("domain"), "created_at").where("domain is not null")
@@ -119,7 +119,7 @@ QUERIES = {
 
 ORACLES = {
     "hot_path": f"select kafka_offset, {present_host_sql('domain')} as host, coalesce(triage_score, 1.0) as score from stream_ct where {present_host_sql('domain')} is not null order by score desc, host, kafka_offset limit {HOT_ROWS}",
-    "newest_domains": f"""select id, domain, created_at from (select * from (select id, {present_host_sql("registered_domain")} as domain, created_at from ct_observations) where domain is not null order by created_at desc, id desc limit {NEWEST_ROWS})
+    "newest_domains": f"""select id, domain, created_at from (select * from (select id, {present_host_sql("registered_domain")} as domain, created_at from ct_observations) where domain is not null)
       qualify row_number() over (partition by domain order by created_at, id) = 1""",
     "tier2_gate": f"select {present_sql('source')} as source, count(*) filter (where coalesce(try_cast(triage_score as double) > {TIER2_CUT}, true)) as n_high, count(*) as n from ct_observations group by 1",
     "clean_positives": f"""select distinct {present_host_sql("raw_host")} as host from ct_observations where risk_label_final = 1 and regexp_matches({present_host_sql("raw_host")}, '[a-z]')
