@@ -37,3 +37,23 @@ def test_without_values_and_empty(spark):
 def test_heavy_keys_count_all_rows(spark):
     df = spark.createDataFrame([("a",)] * 5 + [(None,)] * 90 + [("b",)] * 4 + [("c",)], "k string")
     assert {(r["key"], r["n"]) for r in dense.heavy_keys(df, F.col("k")).collect()} == {("a", 5)}
+
+
+def test_blocks_hold_a_batch_of_keys(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    keys = sorted([f"k{rnd.randrange(700):03}" for _ in range(3000)] + ["k300"] * 900)
+    keys = [None] * 250 + keys
+    n = len(keys)
+    table = pa.table({"key": pa.array(keys, pa.string()), "n": np.ones(n, np.int64), "n_valued": np.ones(n, np.int64), "total": np.arange(n), "least": np.arange(n, dtype=float), "most": np.arange(n, dtype=float)}, schema=dense._SCHEMA)
+    held = []
+    give = dense.Accumulators.give
+    monkeypatch.setattr(dense.Accumulators, "give", lambda self: (held.append(len(self.codes)), give(self))[1])
+    got = pa.Table.from_batches(dense._blocks(iter(table.to_batches(max_chunksize=100)))).to_pylist()
+    assert max(held) <= 101
+    assert len(got) == len(set(keys)) and [r["key"] for r in got] == list(dict.fromkeys(keys))
+    for r in got:
+        mine = [i for i, k in enumerate(keys) if k == r["key"]]
+        assert (r["n"], r["total"], r["least"], r["most"]) == (len(mine), sum(mine), min(mine), max(mine))

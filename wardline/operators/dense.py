@@ -3,9 +3,11 @@
 Every input split encodes its keys by a dictionary of its own and adds its rows
 into dense arrays by code (``numpy.bincount`` and scatter-reduce), whatever the
 keys' frequencies; a split therefore costs what its rows cost. What leaves it is
-one entry per key and split. Entries are dealt to blocks by key, each block
-encodes its keys again and sums the arrays of all splits; where a key is in every
-split, that is as many entries as splits and no more.
+one entry per key and split. Entries are dealt to blocks by key and sorted in
+them; a block encodes the keys of one batch at a time, sums the arrays of all
+splits and gives a key away as soon as the next one comes, so it holds a batch's
+keys however many the block has. Where a key is in every split, that is as many
+entries as splits and no more.
 """
 
 from __future__ import annotations
@@ -96,9 +98,23 @@ def _splits(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum entries that come sorted by key; the last key of a batch waits for the next one."""
     acc = Accumulators()
     for batch in batches:
+        if not batch.num_rows:
+            continue
         acc.add_parts(batch)
+        last = batch.column("key")[-1].as_py()
+        for part in acc.give():
+            is_last = pc.equal(part.column("key"), last) if last is not None else pc.is_null(part.column("key"))
+            is_last = pc.fill_null(is_last, False)
+            done = part.filter(pc.invert(is_last))
+            if done.num_rows:
+                yield done
+            if done.num_rows < part.num_rows:
+                waiting = part.filter(is_last)
+        acc = Accumulators()
+        acc.add_parts(waiting)
     yield from acc.give()
 
 
@@ -109,7 +125,7 @@ def per_key(df: DataFrame, key: Column, value: Column | None = None, scale: int
     ``n``; a key without values has null as total, least and most. The total adds
     values rounded to ``1/scale``, in whole numbers, so that it is the same in
     every order. An empty table has no keys. ``dictionary_keys`` only bounds a
-    split's memory.
+    split's memory; a block's is bounded by a batch.
     """
     ship(df.sparkSession)
     v = (F.lit(None) if value is None else value).cast("double")
@@ -117,7 +133,7 @@ def per_key(df: DataFrame, key: Column, value: Column | None = None, scale: int
     rows = df.select(key.cast("string").alias("key"), v.alias("value"), F.when(F.isnan(v), 0).otherwise(F.round(v * scale)).cast("long").alias("units"))
     parts = rows.mapInArrow(_splits(dictionary_keys), _PARTS)
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = parts.repartition(width, F.xxhash64("key")).mapInArrow(_blocks, _PARTS)
+    sums = parts.repartition(width, F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(_blocks, _PARTS)
     some = F.col("n_valued") > 0
     return sums.select("key", "n", "n_valued", F.when(some, F.col("total") / F.lit(scale)).alias("total"), F.when(some, F.col("least")).alias("least"), F.when(some, F.col("most")).alias("most"))
 
