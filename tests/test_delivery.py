@@ -99,3 +99,26 @@ def test_repeated_rows_and_missing_row_ids(spark):
     for size in (1, 200_000):
         assert {r[0] for r in delivery.copies(df, chunk_rows=size).collect()} == {2}
         assert sorted(str(r["kafka_offset"]) for r in delivery.deliver_once(df).collect()) == ["1", "1", "None", "None"]
+
+
+def test_shards_share_tasks(spark):
+    import datetime as dt
+
+    rnd = random.Random(12)
+    start = dt.datetime(2026, 8, 1)
+    data = [(k, f"i{rnd.randrange(120)}", rnd.choice(["a", "b", "hot", "hot"]), start + dt.timedelta(seconds=rnd.randrange(500))) for k in range(3000)]
+    df = rows_of(spark, data).repartition(5)
+    want = {r[0] for r in delivery.copies(df).collect()}
+    seen, kept = set(), set()
+    for k, i, h, _ in sorted(data, key=lambda r: (r[3], r[0])):
+        if (i, h) not in seen:
+            kept.add(k)
+        seen.add((i, h))
+    assert want == {r[0] for r in data} - kept
+    assert {r[0] for r in delivery.copies(df, chunk_rows=100, rows_per_shard=20).collect()} == want
+
+
+def test_tasks_stay_bounded():
+    bits, tasks = delivery.shards_and_tasks(10**12, delivery.ROWS_PER_SHARD, 2000)
+    assert tasks == delivery.MOST_TASKS and 10**12 / 2**bits <= delivery.ROWS_PER_SHARD
+    assert delivery.shards_and_tasks(0, 10, 8) == (6, 8) and delivery.shards_and_tasks(1000, 10, 8)[1] == 100

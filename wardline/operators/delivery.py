@@ -29,6 +29,8 @@ from wardline.shipping import ship
 
 CHUNK_ROWS = 200_000
 ROWS_PER_SHARD = 400_000
+#: A task takes several shards one after the other where there are more than this, so that mappers times tasks stays bounded.
+MOST_TASKS = 20_000
 _U = np.uint64
 
 
@@ -130,7 +132,7 @@ def _columns(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
     return high.view(np.uint64), low.view(np.uint64), ts, row, texts
 
 
-def _settle(chunk: pa.Table) -> pa.RecordBatch:
+def _settle(chunk: pa.Table, bits: int) -> pa.RecordBatch:
     """Mark the copies that a chunk of the input can tell by itself."""
     high, low, ts, row, texts = _columns(chunk)
     high, low = permute(high, low)
@@ -141,7 +143,7 @@ def _settle(chunk: pa.Table) -> pa.RecordBatch:
     high, low, ts, row, texts, new = (x[apart_from_repeats] for x in (high, low, ts, row, texts, new))
     # a settled copy needs no shard: it travels alone, spread by its row id
     apart = permute(row.view(np.uint64), row.view(np.uint64))[0]
-    shard = (np.where(new, high, apart) >> _U(33)).view(np.int64)
+    shard = (np.where(new, high, apart) >> _U(64 - bits)).astype(np.int64)
     texts[~new] = None
     return pa.RecordBatch.from_arrays(
         [pa.array(shard), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(ts), pa.array(row), pa.array(texts, pa.string()), pa.array(~new)],
@@ -149,7 +151,7 @@ def _settle(chunk: pa.Table) -> pa.RecordBatch:
     )
 
 
-def _within_chunks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _within_chunks(most: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -157,25 +159,39 @@ def _within_chunks(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             held.append(batch)
             rows += batch.num_rows
             if rows >= most:
-                yield _settle(pa.Table.from_batches(held))
+                yield _settle(pa.Table.from_batches(held), bits)
                 held, rows = [], 0
         if rows:
-            yield _settle(pa.Table.from_batches(held))
+            yield _settle(pa.Table.from_batches(held), bits)
 
     return run
 
 
-def _within_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Insert the rest, which comes in order of arrival, once each; give back the row ids of copies."""
-    table = QuotientTable()
-    for batch in batches:
-        settled = batch.column("copy").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([batch.column("row").filter(pa.array(settled))], ["row"])
-        rest = batch.filter(pa.array(~settled))
-        if rest.num_rows:
-            high, low, _, row, texts = _columns(rest)
-            new, first = table.insert(high, low, texts, row)
-            yield pa.RecordBatch.from_arrays([pa.array(row[~new & (first != row)])], ["row"])
+def _within_shards(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per shard, which comes in order of arrival: insert the rest once each, give back the row ids of copies; a shard's table ends with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, at = QuotientTable(), None
+        for batch in batches:
+            shard = batch.column("shard").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            found = []
+            for start, stop in zip(cuts, cuts[1:]):
+                if shard[start] != at:
+                    table, at = QuotientTable(), shard[start]
+                part = batch.slice(start, stop - start)
+                settled = part.column("copy").to_numpy(zero_copy_only=False)
+                found.append(part.column("row").to_numpy(zero_copy_only=False)[settled])
+                rest = part.filter(pa.array(~settled))
+                if rest.num_rows:
+                    high, low, _, row, texts = _columns(rest)
+                    # the leading bits named the shard; the home slot is named by those after them
+                    new, first = table.insert((high << _U(bits)) | (high >> _U(64 - bits)), low, texts, row)
+                    found.append(row[~new & (first != row)])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["row"])
+
+    return run
 
 
 def identifier(id_: Column, host: Column) -> Column:
@@ -184,7 +200,14 @@ def identifier(id_: Column, host: Column) -> Column:
     return F.when(i != "", F.concat(F.length(i).cast("string"), F.lit(":"), i, F.coalesce(clean_host(host), F.lit(""))))
 
 
-def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival: str = "ingest_ts", row_id: str = "kafka_offset", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def shards_and_tasks(rows: int, rows_per_shard: int, width: int) -> tuple[int, int]:
+    """Bits that name a shard, and tasks. Tasks are the session's ``width``, or more for more rows up to ``MOST_TASKS``; shards are eight a task at least."""
+    wanted = max(1, -(-rows // rows_per_shard))
+    tasks = min(max(wanted, width), max(width, MOST_TASKS))
+    return max(4, (max(wanted, 8 * tasks) - 1).bit_length()), tasks
+
+
+def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival: str = "ingest_ts", row_id: str = "kafka_offset", chunk_rows: int = CHUNK_ROWS, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
     """Row ids of every copy but the kept one, in a column named as ``row_id``.
 
     Messages with the same trimmed id and the same cleaned host (null counts as
@@ -192,7 +215,7 @@ def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival:
     is the earliest arrival, then the lowest row id; an arrival of null counts as
     the latest. ``row_id`` must be unique: rows that repeat one are taken for the
     same row and stay or go together; rows without one take no part and stay. An
-    empty log has no copies; further columns are not read. ``chunk_rows`` only bounds memory.
+    empty log has no copies; further columns are not read. ``chunk_rows`` and ``rows_per_shard`` only bound memory.
     """
     spark = df.sparkSession
     ship(spark)
@@ -203,9 +226,10 @@ def copies(df: DataFrame, id_col: str = "id", host_col: str = "domain", arrival:
         F.col(f"`{row_id}`").cast("long").alias("row"),
     ).where("ident is not null and row is not null")
     words = rows.select(F.xxhash64("ident").alias("high"), F.xxhash64(F.lit(7), "ident").alias("low"), "ts", "row", "ident")
-    chunked = words.mapInArrow(_within_chunks(chunk_rows), "shard long, high long, low long, ts long, row long, ident string, copy boolean")
-    shards = shuffle_width(spark, df.count(), ROWS_PER_SHARD)
-    found = chunked.repartition(shards, "shard").sortWithinPartitions("ts", "row").mapInArrow(_within_shard, "row long")
+    # rows are counted from the files' footers; no column is read
+    bits, tasks = shards_and_tasks(df.count(), rows_per_shard, shuffle_width(spark, 0, 1))
+    chunked = words.mapInArrow(_within_chunks(chunk_rows, bits), "shard long, high long, low long, ts long, row long, ident string, copy boolean")
+    found = chunked.repartition(tasks, "shard").sortWithinPartitions("shard", "ts", "row").mapInArrow(_within_shards(bits), "row long")
     return found.select(F.col("row").alias(row_id))
 
 
