@@ -89,8 +89,9 @@ def content_fingerprint(status: Column, title: Column, password: Column) -> Colu
 
 
 def country_code(code: Column, name: Column) -> Column:
-    """A code of 8 characters at most, else a name of 3 at most, else null; nothing is cut."""
-    return F.when(F.length(F.nullif(code, F.lit(""))) <= 8, code).when(F.length(F.nullif(name, F.lit(""))) <= 3, name)
+    """A code of 8 characters at most, else a name of 3 at most, both trimmed, else null; nothing is cut."""
+    c, n = F.btrim(code), F.btrim(name)
+    return F.when((c != "") & (F.length(c) <= 8), c).when((n != "") & (F.length(n) <= 3), n)
 
 
 def finite(c: Column) -> Column:

@@ -62,6 +62,28 @@ def assemble(candidates: DataFrame, attributed: DataFrame) -> DataFrame:
     return per.select("brand", "day", "family", cluster_key(F.col("brand"), F.col("day"), F.col("family")).alias("cluster_key"), "n_members", "max_risk", "first_seen", "last_seen", F.round(confidence(F.col("max_risk"), F.col("n_members")), 8).alias("confidence"))
 
 
+def summary_text(n: Column, brand: Column, day: Column, family: Column) -> Column:
+    """A cluster in one sentence."""
+    return F.format_string("%d domain(s) impersonating %s in a cert-issuance burst on %s (family %s)", n.cast("long"), brand, day, family)
+
+
+def merge_clusters(existing: DataFrame, made: DataFrame) -> DataFrame:
+    """M3: clusters made from new candidates merged into the existing ones of the same key; none is split or dropped.
+
+    Both have ``cluster_key``, ``brand``, ``day``, ``family``, ``n_members``,
+    ``max_risk``, ``first_seen``, ``last_seen``, each key once. Times are widened (a
+    null one gives way), members are added up, and the confidence is that of the
+    higher risk and all members. ``outcome`` is ``created``, ``merged`` or ``kept``.
+    """
+    both = existing.withColumn("_old", F.lit(1)).unionByName(made.withColumn("_old", F.lit(0)), allowMissingColumns=True)
+    per = both.groupBy("cluster_key").agg(
+        *[F.max_by(c, "_old").alias(c) for c in ("brand", "day", "family")], F.sum("n_members").alias("n_members"), F.max("max_risk").alias("max_risk"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.min("_old").alias("_low"), F.max("_old").alias("_high"),
+    )
+    outcome = F.when(F.col("_high") == 0, "created").when(F.col("_low") == 0, "merged").otherwise("kept")
+    return per.select("cluster_key", "brand", "day", "family", "n_members", "max_risk", "first_seen", "last_seen", F.round(confidence(F.col("max_risk"), F.col("n_members")), 8).alias("confidence"), outcome.alias("outcome"))
+
+
 def workflow(members: DataFrame, group: str, host: str, keywords: DataFrame) -> DataFrame:
     """``group``, ``workflow``: the category of least ``priority`` any member's token meets, else ``generic``.
 
@@ -114,7 +136,7 @@ def membership_scores(members: DataFrame, decimals: int = 4) -> DataFrame:
 
     full = burst.withColumns({"_burst": near, "_asn": overlap("asn"), "_registrar": overlap("registrar")}).join(sums, ["cluster_id", "host"], "left")
     score = F.lit(0.30) + 0.25 * F.col("_burst") + 0.20 * F.coalesce(lexical, F.lit(0.0)) + 0.15 * F.col("_asn") + 0.10 * F.col("_registrar")
-    return full.select("cluster_id", "observation_id", F.round(score, decimals).alias("score"))
+    return full.select("cluster_id", "observation_id", F.bround(score, decimals).alias("score"))
 
 
 def matching_rule(observations: DataFrame, rules: DataFrame, now: int) -> DataFrame:

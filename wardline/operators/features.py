@@ -135,12 +135,16 @@ def gap_band(all_features: float, infrastructure_only: float) -> str:
     return "likely shortcut" if gap < 0.05 else "unclear" if gap < 0.15 else "content matters"
 
 
-def threshold(meta: Mapping[str, object]) -> float:
-    """The threshold a model's metadata names, by the newest key present, else 0.90."""
-    for k in ("threshold_at_1pct_fpr", "threshold", "best_threshold"):
-        v = meta.get(k)
-        if isinstance(v, int | float) and 0 < float(v) <= 1:
-            return float(v)
+def threshold(meta: Mapping[str, object] | None, model: str | None = None) -> float:
+    """SC5: the threshold that a model's metadata names: under ``metrics`` of that model, else at the top level, else 0.90."""
+    metrics = (meta or {}).get("metrics")
+    own = metrics.get(model) if isinstance(metrics, Mapping) and model else None
+    for place in (own, meta):
+        for k in ("threshold_at_1pct_fpr", "fpr_1pct_threshold"):
+            try:
+                return float(place[k])  # a value that is missing or no number leaves it to the next
+            except (KeyError, TypeError, ValueError):
+                pass
     return 0.90
 
 
@@ -174,24 +178,56 @@ def stratified_sample(df: DataFrame, host: str, quotas: Mapping[tuple[int, int],
     return first.where("_r <= _q").select(host, "bin", (F.pmod(F.xxhash64(F.lit(seed + 1), host), F.lit(1000)) < int(holdout * 1000)).alias("held_out"))
 
 
-def promotion(candidate: Mapping[str, object], champion: Mapping[str, object] | None, floor: float = 0.70, most_loss: float = 0.02, most_fpr_gain: float = 0.02) -> tuple[bool, str]:
-    """Whether a candidate model replaces the champion, and why."""
-    if not candidate.get("n_pos") or not candidate.get("n_neg"):
-        return False, "one class only"
-    auc = candidate.get("roc_auc")
-    if not isinstance(auc, int | float) or auc != auc:
-        return False, "unknown area"
-    if auc < floor:
-        return False, "below the floor"
-    if champion is None:
-        return True, "no champion"
-    old = champion.get("roc_auc")
-    if isinstance(old, int | float) and old == old and auc < old - most_loss:
-        return False, "area regressed"
-    new_fpr, old_fpr = candidate.get("benign_fpr"), champion.get("benign_fpr")
-    if isinstance(new_fpr, int | float) and isinstance(old_fpr, int | float) and new_fpr > old_fpr + most_fpr_gain:
-        return False, "false positives regressed"
-    return True, "not worse"
+#: The models of a run, the one that decides first.
+PRIMARY = ("lgbm_full", "logreg_full")
+
+
+def _number(x: object) -> float | None:
+    return float(x) if isinstance(x, int | float) and not isinstance(x, bool) and x == x else None
+
+
+def primary_area(meta: Mapping[str, object] | None) -> tuple[str, float] | None:
+    """The model that decides and its area, from a run's metadata; none where neither model has one."""
+    metrics = (meta or {}).get("metrics")
+    for name in PRIMARY:
+        own = metrics.get(name) if isinstance(metrics, Mapping) else None
+        area = _number(own.get("roc_auc")) if isinstance(own, Mapping) else None
+        if area is not None:
+            return name, area
+    return None
+
+
+def _benign_rate(meta: Mapping[str, object] | None) -> float | None:
+    held = (meta or {}).get("benign_holdout_fpr")
+    return _number(held.get("fpr")) if isinstance(held, Mapping) else None
+
+
+def promotion(candidate: Mapping[str, object], champion: Mapping[str, object] | None, floor: float = 0.70, most_loss: float = 0.02, most_fpr_gain: float = 0.02) -> tuple[bool, str, list[str]]:
+    """SC13: whether a candidate's metadata lets it replace the champion, why, and warnings that don't decide.
+
+    Metadata has ``n_pos``, ``n_neg``, ``metrics`` by model with ``roc_auc``,
+    ``benign_holdout_fpr`` with ``fpr`` and ``used_temporal_split``.
+    """
+    notes = [] if candidate.get("used_temporal_split") else ["no temporal split"]
+    if min(_number(candidate.get("n_pos")) or 0, _number(candidate.get("n_neg")) or 0) <= 0:
+        return False, "one class only", notes
+    new = primary_area(candidate)
+    if new is None:
+        return False, "unknown area", notes
+    if new[1] < floor:
+        return False, "below the floor", notes
+    old = primary_area(champion)
+    if old is None:
+        return True, "no champion", notes
+    if old[1] - new[1] > most_loss:
+        return False, "area regressed", notes
+    rates = [_benign_rate(candidate), _benign_rate(champion)]
+    if None in rates:
+        lacking = " and ".join(n for n, r in zip(("candidate", "champion"), rates) if r is None)
+        return True, "not worse", [*notes, f"benign rate unknown of {lacking}"]
+    if rates[0] - rates[1] > most_fpr_gain:
+        return False, "false positives regressed", notes
+    return True, "not worse", notes
 
 
 def gate_ran(log: DataFrame, at: str, needed: Sequence[str], now: int, most_hours: float) -> tuple[bool, str]:

@@ -35,16 +35,27 @@ def lead_times(ct: DataFrame, blocked: DataFrame) -> DataFrame:
 
 
 def summary(ct: DataFrame, matched: DataFrame) -> DataFrame:
-    """One row: counts by tier, coverage, how often and how far the stream was ahead, and a note on sample size."""
-    n_hosts = ct.count()  # one row per host
-    ahead = F.col("lead_hours") > 0
-    one = matched.agg(
-        F.count("*").alias("n_matched"),
-        F.count_if(F.col("match_tier") == "exact_hostname").alias("n_exact"),
+    """One row: counts by tier, coverage, how often and how far the stream was ahead, and a note on sample size.
+
+    Shares and percentiles without anything to stand on are null. Hosts and matches
+    are counted in one aggregate.
+    """
+    rows = ct.select(F.lit(1).alias("host"), F.lit(None).cast("string").alias("match_tier"), F.lit(None).cast("double").alias("lead_hours")).unionByName(matched.select(F.lit(0).alias("host"), "match_tier", "lead_hours"))
+    ahead, exact, is_match = F.col("lead_hours") > 0, F.col("match_tier") == "exact_hostname", F.col("host") == 0
+    one = rows.agg(
+        F.coalesce(F.sum("host"), F.lit(0)).cast("long").alias("n_hosts"),
+        F.count_if(is_match).alias("n_matched"),
+        F.count_if(is_match & exact).alias("n_exact"),
+        F.count_if(is_match & ~exact).alias("n_apex_only"),
         F.count_if(ahead).alias("n_ahead"),
-        F.count_if(ahead & (F.col("match_tier") == "exact_hostname")).alias("n_ahead_exact"),
+        F.count_if(ahead & exact).alias("n_ahead_exact"),
+        F.count_if(F.col("lead_hours") <= 0).alias("n_blocklist_first"),
         F.percentile(F.when(ahead, F.col("lead_hours")), 0.5).alias("median_hours_ahead"),
         F.percentile(F.when(ahead, F.col("lead_hours")), 0.9).alias("p90_hours_ahead"),
     )
     note = F.when(F.col("n_matched") == 0, "no matches").when(F.col("n_exact") == 0, "no exact matches").when(F.col("n_exact") < 30, "low").when(F.col("n_exact") < 200, "moderate").otherwise("reasonable")
-    return one.withColumn("n_hosts", F.lit(n_hosts).cast("long")).select("n_hosts", "n_matched", "n_exact", "n_ahead", "n_ahead_exact", F.round(100.0 * F.col("n_matched") / F.nullif("n_hosts", F.lit(0)), 2).alias("coverage_pct"), F.round("median_hours_ahead", 4).alias("median_hours_ahead"), F.round("p90_hours_ahead", 4).alias("p90_hours_ahead"), note.alias("confidence"))
+    return one.select(
+        "n_hosts", "n_matched", "n_exact", "n_apex_only", "n_ahead", "n_ahead_exact", "n_blocklist_first", (F.col("n_hosts") - F.col("n_matched")).alias("n_ct_only"),
+        F.round(100.0 * F.col("n_matched") / F.nullif("n_hosts", F.lit(0)), 2).alias("coverage_pct"), F.round(100.0 * F.col("n_ahead") / F.nullif("n_matched", F.lit(0)), 2).alias("ahead_pct"),
+        F.round("median_hours_ahead", 4).alias("median_hours_ahead"), F.round("p90_hours_ahead", 4).alias("p90_hours_ahead"), note.alias("confidence"),
+    )

@@ -76,3 +76,50 @@ def queue_depth(queue: DataFrame, status: str, enqueued: str, now: int) -> DataF
     """Per status the items, the oldest enqueue time and its age in seconds; times in microseconds."""
     per = queue.groupBy(status).agg(F.count("*").alias("n"), F.min(enqueued).alias("oldest"))
     return per.select(status, "n", "oldest", ((F.lit(now) - F.col("oldest")) / F.lit(1e6)).alias("lag_seconds"))
+
+
+def complete(queue: DataFrame, done: DataFrame, status: str, key: str) -> DataFrame:
+    """Items in processing whose key is in ``done`` become done."""
+    finished = done.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_done", F.lit(True))
+    ends = F.col("_done") & (F.col(status) == "processing")
+    return queue.join(finished, key, "left").withColumn(status, F.when(ends, "done").otherwise(F.col(status))).drop("_done").select(*queue.columns)
+
+
+def recover_stale(queue: DataFrame, status: str) -> DataFrame:
+    """After a crash, what was in processing is pending again; attempts don't change."""
+    return queue.withColumn(status, F.when(F.col(status) == "processing", "pending").otherwise(F.col(status)))
+
+
+def failed_ledger(queue: DataFrame, status: str) -> tuple[DataFrame, DataFrame]:
+    """The queue without its failed items, and these as the ledger."""
+    failed = F.coalesce(F.col(status) == "failed", F.lit(False))
+    return queue.where(~failed), queue.where(failed)
+
+
+def not_in_flight(items: DataFrame, queue: DataFrame, key: str, status: str) -> DataFrame:
+    """Items whose key isn't pending or in processing; items with a null key stay."""
+    return items.join(queue.where(F.col(status).isin("pending", "processing")).select(key), key, "left_anti")
+
+
+def of_keys(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys, all together, are in ``wanted``; each once however often the keys come there. A null in a key meets nothing."""
+    return rows.join(wanted.select(*keys), list(keys), "left_semi")
+
+
+def touched_parents(stored: DataFrame, wanted: DataFrame, keys: Sequence[str], members: DataFrame, row_id: str, parent: str) -> DataFrame:
+    """The distinct parents that have a member among the stored rows of the wanted composite keys."""
+    return members.join(of_keys(stored, wanted, keys).select(row_id), row_id, "left_semi").select(parent).where(F.col(parent).isNotNull()).distinct()
+
+
+def lineage(rows: DataFrame, source: str, expected: Sequence[str]) -> DataFrame:
+    """Per source of a union its rows ``n`` and their ``share``, sources that are ``missing`` with 0 rows; raises ``ValueError`` where there is no row at all.
+
+    Rows without a source are listed under null. One missing source stops nothing.
+    """
+    total = rows.count()
+    if not total:
+        raise ValueError(f"no rows of any source ({', '.join(sorted(expected))})")
+    per = rows.groupBy(source).agg(F.count("*").alias("n"))
+    asked = rows.sparkSession.createDataFrame([(s,) for s in sorted(set(expected))], f"`{source}` string")
+    both = per.join(asked, source, "full")
+    return both.select(source, F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) / F.lit(float(total)), 8).alias("share"), F.col("n").isNull().alias("missing"))

@@ -10,8 +10,8 @@ LOW_SAMPLE = 10
 
 
 def current_verdicts(dispositions: DataFrame) -> DataFrame:
-    """Per cluster its newest verdict, by (``created_at``, ``id``)."""
-    return dispositions.where("cluster_id is not null").groupBy("cluster_id").agg(F.max_by("verdict", F.struct("created_at", "id")).alias("verdict"))
+    """Per cluster the verdict of its greatest ``id``, the newest entry whatever its time says."""
+    return dispositions.where("cluster_id is not null").groupBy("cluster_id").agg(F.max_by("verdict", "id").alias("verdict"))
 
 
 def sample_note(n: Column) -> Column:
@@ -38,3 +38,9 @@ def per_day(clusters: DataFrame, now: int, window_days: int = 7) -> DataFrame:
     one = clusters.agg(F.min("created_at").alias("_first"), F.count_if(F.col("created_at") >= now - window_days * day).alias("n_in_window"))
     span = F.greatest(F.lit(1.0), F.least(F.lit(float(window_days)), (F.lit(now) - F.col("_first")) / F.lit(float(day))))
     return one.select("n_in_window", F.round(F.col("n_in_window") / span, 2).alias("per_day"))
+
+
+def suppression_rate(clusters: DataFrame) -> DataFrame:
+    """One row with the share of all clusters, reviewed or not, that are at stage ``suppressed``; null without any."""
+    one = clusters.agg(F.count("*").alias("n_total"), F.count_if(F.col("stage") == "suppressed").alias("n_suppressed"))
+    return one.select("n_total", "n_suppressed", F.round(F.col("n_suppressed") / F.nullif("n_total", F.lit(0)), 4).alias("rate"))

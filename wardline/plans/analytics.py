@@ -163,19 +163,24 @@ def enrichment_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Hits, misses and expired entries of the registration cache for the observed domains."""
+    """Hits, misses and expired entries of the registration cache for the observed domains, with the share of each."""
     domains = table(spark, d, "ct_observations").select(present_host(F.col("registered_domain")).alias("domain")).where("domain is not null").distinct()
     cache = table(spark, d, "whois_cache")
     cache = cache.where("error is null").select(present_host(F.col("domain")).alias("domain"), micros(cache, "fetched_at").alias("f"), F.col("registrar")).where("domain is not null")
     now = 1788220800000000
     joined = merging.fresh_lookup(domains, cache, "domain", F.col("f"), now, 14 * 86_400_000_000)
-    return joined.groupBy("outcome").agg(F.count_distinct("domain").alias("n_domains"), F.count("*").alias("n_rows"))
+    per = joined.groupBy("outcome").agg(F.count_distinct("domain").alias("n_domains"), F.count("*").alias("n_rows"))
+    return per.withColumn("rate", F.round(F.col("n_domains") / F.sum("n_domains").over(Window.partitionBy()), 8))  # three rows
 
 
 def snapshot_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Per source file of observations its rows, newest event and whether it repeats another one's size."""
-    per = table(spark, d, "ct_observations").groupBy("source_file").agg(F.count("*").alias("n"), F.max("event_ts").alias("newest"), F.count_distinct("id").alias("ids"))
-    return per.withColumn("same_size", F.count("*").over(Window.partitionBy("n")) > 1)
+    """Per scored file its rows, an order-free hash of their content, its newest event with the age in hours at the fixed moment, and whether another file has the same content."""
+    rows = table(spark, d, "ct_observations")
+    text = F.concat_ws("|", "raw_host", "registered_domain", F.col("risk_label_final").cast("string"), "decision_reason")
+    mark = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    per = rows.select("source_file", mark.alias("mark"), "event_ts", micros(rows, "event_ts").alias("at")).groupBy("source_file").agg(F.count("*").alias("n"), F.bit_xor("mark").alias("content"), F.max("event_ts").alias("newest"), F.max("at").alias("at"))
+    age = F.floor((F.unix_micros(F.lit(NOW + "Z").cast("timestamp")) - F.col("at")) / F.lit(3_600_000_000))
+    return per.select("source_file", "n", "content", "newest", age.alias("age_hours"), (F.count("*").over(Window.partitionBy("n", "content")) > 1).alias("repeated"))
 
 
 def candidate_observations(spark: SparkSession, d: str) -> DataFrame:
@@ -218,9 +223,8 @@ def registration_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_lineage(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and files per source, with each source's share."""
-    per = table(spark, d, "ct_observations").groupBy(present(F.col("source")).alias("source")).agg(F.count("*").alias("n"), F.count_distinct("source_file").alias("n_files"))
-    return per
+    """Rows per source of the label union, its share, and whether a source that is asked for is missing; raises without any row."""
+    return merging.lineage(table(spark, d, "ct_observations").select(present(F.col("source")).alias("source")), "source", ["certstream", "openphish"])
 
 
 QUERIES = {
@@ -285,9 +289,9 @@ ORACLES = {
     "infrastructure_nodes": f"{_EDGES} select source as id, 'domain' as kind from edges union select target, case when starts_with(target, 'tld_') then 'tld' else 'asn' end from edges",
     "lead_times": f"""{_LEAD} select raw_host, registered_domain, {_EPOCH} + to_microseconds(a) as ct_first_seen, {_EPOCH} + to_microseconds(b) as blocklist_first_seen, risk_score, sources, match_tier, round((b - a)::double / 3.6e9::double, 6) as lead_hours from m""",
     "lead_time_summary": f"""{_LEAD}, h as (select *, (b - a)::double / 3.6e9::double as lead from m),
-      s as (select (select count(*) from ct) as n_hosts, count(*) as n_matched, count(*) filter (where match_tier = 'exact_hostname') as n_exact, count(*) filter (where lead > 0) as n_ahead,
-        count(*) filter (where lead > 0 and match_tier = 'exact_hostname') as n_ahead_exact, round(quantile_cont(lead, 0.5) filter (where lead > 0), 4) as median_hours_ahead, round(quantile_cont(lead, 0.9) filter (where lead > 0), 4) as p90_hours_ahead from h)
-      select *, round(100.0 * n_matched / nullif(n_hosts, 0), 2)::double as coverage_pct,
+      s as (select (select count(*) from ct) as n_hosts, count(*) as n_matched, count(*) filter (where match_tier = 'exact_hostname') as n_exact, count(*) filter (where match_tier <> 'exact_hostname') as n_apex_only, count(*) filter (where lead > 0) as n_ahead,
+        count(*) filter (where lead > 0 and match_tier = 'exact_hostname') as n_ahead_exact, count(*) filter (where lead <= 0) as n_blocklist_first, round(quantile_cont(lead, 0.5) filter (where lead > 0), 4) as median_hours_ahead, round(quantile_cont(lead, 0.9) filter (where lead > 0), 4) as p90_hours_ahead from h)
+      select *, n_hosts - n_matched as n_ct_only, round(100.0 * n_matched / nullif(n_hosts, 0), 2)::double as coverage_pct, round(100.0 * n_ahead / nullif(n_matched, 0), 2)::double as ahead_pct,
         case when n_matched = 0 then 'no matches' when n_exact = 0 then 'no exact matches' when n_exact < 30 then 'low' when n_exact < 200 then 'moderate' else 'reasonable' end as confidence from s""",
     "precision_at_k": f"""select k, count(*) as n_evaluated, count(*) filter (where ti_misp_hit > 0) as n_hits, count(*) filter (where ti_misp_hit > 0) / count(*) as precision
       from (values (10), (50), (100), (500)) t(k) join (select ti_misp_hit, row_number() over (order by risk_score desc, id) as r from {_SCORED}) on r <= k group by k""",
@@ -301,9 +305,10 @@ ORACLES = {
       round(count(*) filter (where registrar is not null or whois_created is not null) / count(*), 4) as rate from ct_observations""",
     "cache_outcomes": f"""with dom as (select distinct {present_host_sql("registered_domain")} as domain from ct_observations where {present_host_sql("registered_domain")} is not null),
       c as (select {present_host_sql("domain")} as domain, epoch_us(fetched_at) > 1788220800000000 - 14 * 86400000000 as fresh from whois_cache where error is null)
-      select case when f.domain is not null then 'hit' when s.domain is not null then 'expired' else 'miss' end as outcome, count(distinct dom.domain) as n_domains, count(*) as n_rows
-      from dom left join (select * from c where fresh) f on f.domain = dom.domain left join (select distinct domain from c) s on s.domain = dom.domain group by 1""",
-    "snapshot_fingerprints": "select *, count(*) over (partition by n) > 1 as same_size from (select source_file, count(*) as n, max(event_ts) as newest, count(distinct id) as ids from ct_observations group by 1)",
+      select *, round(n_domains / sum(n_domains) over ()::double, 8) as rate from (select case when f.domain is not null then 'hit' when s.domain is not null then 'expired' else 'miss' end as outcome, count(distinct dom.domain) as n_domains, count(*) as n_rows
+      from dom left join (select * from c where fresh) f on f.domain = dom.domain left join (select distinct domain from c) s on s.domain = dom.domain group by 1)""",
+    "snapshot_fingerprints": f"""select source_file, n, content, newest, floor((epoch_us(timestamp '{NOW}') - epoch_us(newest)) / 3600000000)::bigint as age_hours, count(*) over (partition by n, content) > 1 as repeated from (
+      select source_file, count(*) as n, bit_xor(('0x' || left(md5(concat_ws('|', raw_host, registered_domain, risk_label_final::varchar, decision_reason)), 15))::bigint) as content, max(event_ts) as newest from ct_observations group by 1)""",
     "candidate_observations": f"""select id, {host_sql("raw_host")} as host, event_ts from ct_observations where {present_host_sql("raw_host")} is not null
       and (coalesce(risk_label_final = 1, false) or coalesce(ti_misp_hit = 1, false) or coalesce(not isnan(risk_score) and risk_score >= 0.7, false))""",
     "observation_upsert": f"""with k as (select {host_sql("raw_host")} as raw_host, event_ts, case when not isnan(risk_score) and not isinf(risk_score) then risk_score end as risk_score, registrar, id, epoch_us(created_at) - epoch_us(event_ts) > 86400000000 as late from ct_observations where event_ts is not null),
@@ -316,5 +321,6 @@ ORACLES = {
     "registration_join": f"""select o.domain, newest, registrar, coalesce(n_ips, 0) as n_ips from (select {present_host_sql("registered_domain")} as domain, max(event_ts) as newest from ct_observations where {present_host_sql("registered_domain")} is not null group by 1) o
       left join (select {present_host_sql("domain")} as domain, {fold_sql("registrar")} as registrar from whois_cache where error is null qualify row_number() over (partition by {present_host_sql("domain")} order by fetched_at desc, {fold_sql("registrar")} desc nulls last) = 1) w on w.domain = o.domain
       left join (select {present_host_sql("puny_domain")} as domain, count(distinct ip) as n_ips from dns_geo_cache group by 1) g on g.domain = o.domain""",
-    "source_lineage": f"select {present_sql('source')} as source, count(*) as n, count(distinct source_file) as n_files from ct_observations group by 1",
+    "source_lineage": f"""select source, coalesce(n, 0) as n, round(coalesce(n, 0) / (select count(*) from ct_observations)::double, 8) as share, n is null as missing
+      from (select {present_sql('source')} as source, count(*) as n from ct_observations group by 1) full join (values ('certstream'), ('openphish')) e(source) using (source)""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,9 +19,21 @@ WORDS = ["login", "secure", "verify", "account", "support", "update", "auth"]
 OWN = {b: [f"{b}.test", f"{b}.com.qx"] for b in BRANDS}
 RULES = triage.Rules(suspicious_tlds=["zz", "xq"], keywords=BRANDS + WORDS, providers=["com.qx", "co.zz"], own_domains=OWN, infra_suffixes=["invalid"])
 WATCHED = [(b, [b[:-1] + "o"], 200 - 10 * (i // 3)) for i, b in enumerate(BRANDS)]
-WORKFLOWS = {"login": ["login", "signin", "auth", "account", "verify"], "billing": ["billing", "invoice", "payment", "pay"], "support": ["support", "helpdesk", "ticket"], "shipping": ["shipping", "delivery", "tracking"]}
+# What hosts pretend to be for, the first category first.
+WORKFLOWS = {
+    "login": ["login", "signin", "sign-in", "auth", "account", "verify"],
+    "sso": ["sso", "identity", "okta", "adfs", "saml"],
+    "billing": ["billing", "invoice", "payment", "pay", "checkout"],
+    "payroll": ["payroll", "hr-portal", "employee", "salary", "paystub"],
+    "wallet": ["wallet", "crypto", "coin", "exchange", "withdraw"],
+    "support": ["support", "helpdesk", "ticket", "service-desk"],
+    "shipping": ["shipping", "delivery", "tracking", "parcel", "courier"],
+}
+LISTED = [1, 2, 3, 5, 8, 13, 21]
 SUPPRESSIONS = [(1, "domain", "test", None, True), (2, "registrar", "umbra", None, True), (3, "asn", "as65431", None, True), (4, "domain", "myfiroritifo.qz", None, False), (5, "domain", "com.qx", 1, True)]
 NOW_US = 1788220800000000
+#: Observations stored from this moment on (15 August 2026) are the second run's.
+MERGED_AT = 1786752000000000
 
 
 def _stream_hosts(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +53,7 @@ def triage_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def _observed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "ct_observations")
-    return rows.select("id", present_host(F.col("raw_host")).alias("host"), present_host(F.col("registered_domain")).alias("domain"), micros(rows, "event_ts").alias("at"), "risk_score", F.col("sample_asn").alias("asn"), "registrar")
+    return rows.select("id", present_host(F.col("raw_host")).alias("host"), present_host(F.col("registered_domain")).alias("domain"), micros(rows, "event_ts").alias("at"), "risk_score", F.col("sample_asn").alias("asn"), "registrar", micros(rows, "created_at").alias("stored"))
 
 
 def host_brands(spark: SparkSession, d: str) -> DataFrame:
@@ -48,11 +62,28 @@ def host_brands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assembled_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of risky, attributed observations by brand, day and family."""
+    """Clusters of risky, attributed observations that no live rule suppresses, by brand, day and family."""
+    made = _assembled(spark, d, _candidates(spark, d))
+    text = campaigns.summary_text(F.col("n_members"), F.col("brand"), F.col("day"), F.col("family"))
+    return made.withColumns({"first_seen": from_micros(F.col("first_seen")), "last_seen": from_micros(F.col("last_seen")), "summary": text})
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = _observed(spark, d).where("risk_score >= 0.5 and not isnan(risk_score) and at is not null and host is not null")
-    candidates = rows.withColumn("day", F.date_format(from_micros(F.col("at")), "yyyy-MM-dd"))
-    made = campaigns.assemble(candidates, campaigns.attribute(rows, "host", campaigns.alias_table(spark, WATCHED, OWN)))
-    return made.withColumns({"first_seen": from_micros(F.col("first_seen")), "last_seen": from_micros(F.col("last_seen"))})
+    kept = rows.join(suppressed_observations(spark, d).select("id"), "id", "left_anti")
+    return kept.withColumn("day", F.date_format(from_micros(F.col("at")), "yyyy-MM-dd"))
+
+
+def _assembled(spark: SparkSession, d: str, candidates: DataFrame) -> DataFrame:
+    return campaigns.assemble(candidates, campaigns.attribute(candidates, "host", campaigns.alias_table(spark, WATCHED, OWN)))
+
+
+def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """M3: clusters of the observations stored before a moment, and what those stored after it create or add to."""
+    rows = _candidates(spark, d)
+    made = [_assembled(spark, d, rows.where(c)) for c in (F.col("stored") < MERGED_AT, F.col("stored") >= MERGED_AT)]
+    out = campaigns.merge_clusters(*made)
+    return out.select("cluster_key", "brand", "n_members", "max_risk", from_micros(F.col("first_seen")).alias("first_seen"), from_micros(F.col("last_seen")).alias("last_seen"), "confidence", "outcome")
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -82,9 +113,28 @@ def cluster_confidence(spark: SparkSession, d: str) -> DataFrame:
     return c.join(per, "cluster_id").select("cluster_id", "n", again.alias("confidence"), (F.abs(again - F.col("confidence_score")) > 1e-6).alias("drifted"), (F.col("n") != F.col("observation_count")).alias("count_differs"))
 
 
+def visible(clusters: DataFrame, least: float = 0.3, brand: str | None = None, stage: str | None = None, assignee: str | None = None, ids: list[int] | None = None) -> DataFrame:
+    """Clusters from a confidence on, or locked; optionally of one brand, stage or assignee (brand and assignee compare folded). A list of ids stands for all of these conditions."""
+    if ids is not None:
+        return clusters.where(F.col("id").isin(ids))
+    rows = clusters.where((F.col("confidence_score") >= least) | F.col("stage_locked_by").isNotNull())
+    for c, v in ((present(F.col("target_brand")), brand), (F.col("stage"), stage), (present(F.col("assignee")), assignee)):
+        if v is not None:
+            rows = rows.where(c == v)
+    return rows
+
+
+def queue_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Campaigns of the queue under each kind of filter, all of them."""
+    c = table(spark, d, "campaign_clusters")
+    kinds = {"brand": visible(c, brand=BRANDS[0]), "stage": visible(c, stage="active"), "both": visible(c, brand=BRANDS[0], stage="new"), "nobody": visible(c, assignee="nobody"), "listed": visible(c, ids=LISTED)}
+    parts = [rows.select(F.lit(k).alias("filter"), "id") for k, rows in kinds.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def campaign_queue(spark: SparkSession, d: str) -> DataFrame:
-    """The hundred campaigns an analyst sees first."""
-    rows = table(spark, d, "campaign_clusters").where("confidence_score >= 0.3 or stage_locked_by is not null")
+    """O3: the hundred campaigns an analyst sees first."""
+    rows = visible(table(spark, d, "campaign_clusters"))
     return rows.orderBy(F.col("confidence_score").desc(), "id").limit(100).select("id", present(F.col("target_brand")).alias("target_brand"), "confidence_score", "queue_status")
 
 
@@ -118,7 +168,7 @@ def campaigns_per_day(spark: SparkSession, d: str) -> DataFrame:
 def first_reviews(spark: SparkSession, d: str) -> DataFrame:
     """Hours from a campaign's creation to its first evidence, and the newest evidence's kind."""
     e = table(spark, d, "evidence_events").where("cluster_id is not null")
-    per = e.select("cluster_id", micros(e, "created_at").alias("t"), "id", "event_type").groupBy("cluster_id").agg(F.min("t").alias("first"), F.max_by("event_type", F.struct("t", "id")).alias("newest"))
+    per = e.select("cluster_id", micros(e, "created_at").alias("t"), "id", "event_type").groupBy("cluster_id").agg(F.min("t").alias("first"), F.max_by("event_type", "id").alias("newest"))
     c = table(spark, d, "campaign_clusters")
     c = c.select(F.col("id").alias("cluster_id"), micros(c, "created_at").alias("born"))
     return c.join(per, "cluster_id").select("cluster_id", (F.greatest(F.lit(0), F.col("first") - F.col("born")) / F.lit(3.6e9)).alias("hours"), "newest")
@@ -152,7 +202,7 @@ def refreshed_cache(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        triage_hosts, triage_counts, host_brands, assembled_clusters, cluster_workflows, member_scores, cluster_confidence, campaign_queue, top_members, suppressed_observations, fully_suppressed_clusters,
+        triage_hosts, triage_counts, host_brands, assembled_clusters, merged_clusters, queue_filters, cluster_workflows, member_scores, cluster_confidence, campaign_queue, top_members, suppressed_observations, fully_suppressed_clusters,
         campaigns_per_day, first_reviews, next_evidence, repeated_members, refreshed_cache,
     )
 }
@@ -199,10 +249,20 @@ sup as (select o.id, min(rule_id) as rule_id from o, rules where active and (exp
 ORACLES = {
     "triage_hosts": f"{_TRIAGE} select h as host, {_SCORE} as score, array_to_string([x for x in [r1, r2, r3, r4, r5, r6, r7, r8, r9] if x is not null], ';') as reasons from r",
     "host_brands": f"{_BRANDS} select host, brand from named",
-    "assembled_clusters": f"""{_BRANDS}, c as (select brand, strftime(event_ts, '%Y-%m-%d') as day, case when contains(host, '.') then regexp_extract(host, '[^.]*$') else '' end || ':' || case when len(regexp_extract_all(host, '-')) >= 3 then 'h' else 'l' end as family, risk_score, event_ts
-        from (select *, {present_host_sql("raw_host")} as host from ct_observations) join named using (host) where risk_score >= 0.5 and not isnan(risk_score) and event_ts is not null)
+    "assembled_clusters": f"""{_BRANDS}, {_RULES}, c as (select brand, strftime(event_ts, '%Y-%m-%d') as day, case when contains(host, '.') then regexp_extract(host, '[^.]*$') else '' end || ':' || case when len(regexp_extract_all(host, '-')) >= 3 then 'h' else 'l' end as family, risk_score, event_ts
+        from (select *, {present_host_sql("raw_host")} as host from ct_observations) join named using (host) where risk_score >= 0.5 and not isnan(risk_score) and event_ts is not null and id not in (select id from sup))
       select brand, day, family, sha1(brand || '|' || day || '|' || family) as cluster_key, count(*) as n_members, max(risk_score) as max_risk, min(event_ts) as first_seen, max(event_ts) as last_seen,
-        round(least(1.0, max(risk_score) * (0.7::double + 0.3::double * least(count(*), 10) / 10.0::double)), 8) as confidence from c group by 1, 2, 3""",
+        round(least(1.0, max(risk_score) * (0.7::double + 0.3::double * least(count(*), 10) / 10.0::double)), 8) as confidence,
+        count(*) || ' domain(s) impersonating ' || brand || ' in a cert-issuance burst on ' || day || ' (family ' || family || ')' as summary from c group by 1, 2, 3""",
+    "merged_clusters": f"""{_BRANDS}, {_RULES}, c as (select brand, strftime(event_ts, '%Y-%m-%d') as day, case when contains(host, '.') then regexp_extract(host, '[^.]*$') else '' end || ':' || case when len(regexp_extract_all(host, '-')) >= 3 then 'h' else 'l' end as family,
+        risk_score, event_ts, epoch_us(created_at) >= {MERGED_AT} as new
+        from (select *, {present_host_sql("raw_host")} as host from ct_observations) join named using (host) where risk_score >= 0.5 and not isnan(risk_score) and event_ts is not null and id not in (select id from sup))
+      select sha1(brand || '|' || day || '|' || family) as cluster_key, brand, count(*)::bigint as n_members, max(risk_score) as max_risk, min(event_ts) as first_seen, max(event_ts) as last_seen,
+        round(least(1.0, max(risk_score) * (0.7::double + 0.3::double * least(count(*), 10) / 10.0::double)), 8) as confidence,
+        case when bool_and(new) then 'created' when bool_or(new) then 'merged' else 'kept' end as outcome from c group by brand, day, family""",
+    "queue_filters": f"""with v as (select *, {present_sql("target_brand")} as b, {present_sql("assignee")} as a from campaign_clusters where confidence_score >= 0.3 or stage_locked_by is not null)
+      select 'brand' as filter, id from v where b = '{BRANDS[0]}' union all select 'stage', id from v where stage = 'active' union all select 'both', id from v where b = '{BRANDS[0]}' and stage = 'new'
+      union all select 'nobody', id from v where a = 'nobody' union all select 'listed', id from campaign_clusters where id in ({", ".join(map(str, LISTED))})""",
     "cluster_workflows": f"""with {_MEMBERS}, h as (select distinct cluster_id, {present_host_sql("raw_host")} as h from m join ct_observations o on o.id = observation_id where {present_host_sql("raw_host")} is not null),
       kw(kw, category, p) as (values {_FLOWS}), met as (select cluster_id, category, p from (select cluster_id, unnest({_TOKENS.format("h")}) as t from h), kw where {_NEAR.format("kw", "")})
       select cluster_id, coalesce(first(category order by p), 'generic') as workflow from (select distinct cluster_id from h) left join met using (cluster_id) group by 1""",
@@ -216,7 +276,7 @@ ORACLES = {
     "fully_suppressed_clusters": f"with {_MEMBERS}, {_RULES} select cluster_id, count(*) as n from m left join sup on sup.id = observation_id group by 1 having bool_and(sup.id is not null)",
     "campaigns_per_day": "select strftime(created_at, '%Y-%m-%d') as day, count(*) as n, count(*) filter (where stage = 'suppressed') as n_suppressed from campaign_clusters group by 1",
     "first_reviews": """select cluster_id, greatest(0, first - epoch_us(c.created_at))::double / 3.6e9::double as hours, newest from (
-      select cluster_id, min(epoch_us(created_at)) as first, arg_max(event_type, struct_pack(t := created_at, i := id)) as newest from evidence_events where cluster_id is not null group by 1) e join campaign_clusters c on c.id = cluster_id""",
+      select cluster_id, min(epoch_us(created_at)) as first, arg_max(event_type, id) as newest from evidence_events where cluster_id is not null group by 1) e join campaign_clusters c on c.id = cluster_id""",
     "next_evidence": """select cluster_id, deleted_at, (select first(e.id order by e.created_at, e.id) from evidence_events e where e.cluster_id = g.cluster_id and e.created_at > g.deleted_at) as evidence_id
       from (select distinct cluster_id, deleted_at from cluster_deletions) g""",
     "repeated_members": "select cluster_id, observation_id, id from cluster_members where cluster_id is not null qualify row_number() over (partition by cluster_id, observation_id order by created_at, id) = 1",

@@ -34,11 +34,10 @@ def host_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def host_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Baseline score, anomaly flags and lexical family of every distinct host."""
+    """Anomaly flags and lexical family of every distinct host."""
     h = F.col("host")
     hosts = table(spark, d, "ct_observations").select(clean_host(F.col("raw_host")).alias("host")).distinct()
     tld = F.coalesce(last_label(h), F.lit(""))
-    score = F.when(tld.isin("tk", "top", "xyz", "icu", "zz", "qx"), 0.5).otherwise(0.0) + F.when(h.rlike("[0-9]{4,}"), 0.3).otherwise(0.0) + F.when(X.count_of(h, "-") >= 2, 0.2).otherwise(0.0)
     letters = X.count_of(h, "[a-z]")
     flags = F.array_compact(
         F.array(
@@ -49,7 +48,7 @@ def host_flags(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     family = F.concat(tld, F.lit(":"), F.when(X.count_of(h, "-") >= 3, "h").otherwise("l"))
-    return hosts.select("host", F.round(score, 6).alias("baseline_score"), F.array_join(flags, ",").alias("flags"), family.alias("family"))
+    return hosts.select("host", F.array_join(flags, ",").alias("flags"), family.alias("family"))
 
 
 def host_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -85,15 +84,9 @@ def page_probe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Bands, codes and tags of every observation."""
-    s = X.finite(F.col("risk_score"))
-    band = F.when(s >= 0.99, "0.99").when(s >= 0.9, "0.90").when(s >= 0.7, "0.70").when(s >= 0.4, "0.40").otherwise("low")
-    level = F.when(s >= 0.9, "CRITICAL").when(s >= 0.4, "HIGH").otherwise("CLEAN")
+    """Finite score and model tag of every observation; the verdicts are in ``threat_verdicts``."""
     rows = table(spark, d, "ct_observations")
-    return rows.select(
-        "id", s.alias("score"), band.alias("band"), level.alias("level"), X.country_code(F.col("sample_country"), F.col("sample_isp")).alias("country"),
-        F.concat(F.coalesce("model_used", F.lit("none")), F.lit("@"), F.date_format(from_micros(micros(rows, "created_at")), "yyyyMMdd'T'HHmmss'Z'")).alias("tag"),
-    )
+    return rows.select("id", X.finite(F.col("risk_score")).alias("score"), X.model_tag(F.coalesce("model_used", F.lit("none")), from_micros(micros(rows, "created_at"))).alias("tag"))
 
 
 def times(spark: SparkSession, d: str) -> DataFrame:
@@ -169,9 +162,7 @@ ORACLES = {
       round({_COUNT.format("host", "[0-9]")} / (length(host) + 1e-6), 6) as digit_ratio, round({_COUNT.format("host", "-")} / (length(host) + 1e-6), 6) as hyphen_ratio,
       {_ENTROPY.format("host")} as entropy, contains(host, 'xn--')::integer as xn_punycode, ({_COUNT.format("host", "[.]")} + 1)::integer as labels,
       length(regexp_extract(host, '[^.]*$'))::integer as tld_len from {_HOSTS}""",
-    "host_flags": f"""select host, round((case when coalesce({_TLD}, '') in ('tk', 'top', 'xyz', 'icu', 'zz', 'qx') then 0.5 else 0.0 end)::double
-        + (case when regexp_matches(host, '[0-9]{{4,}}') then 0.3 else 0.0 end)::double + (case when {_COUNT.format("host", "-")} >= 2 then 0.2 else 0.0 end)::double, 6) as baseline_score,
-      array_to_string([f for f in [case when length(host) > 25 then 'long' end, case when {_ENTROPY.format("host")} > 3.8 then 'entropy' end, case when {_COUNT.format("host", "-")} > 1 then 'hyphens' end,
+    "host_flags": f"""select host, array_to_string([f for f in [case when length(host) > 25 then 'long' end, case when {_ENTROPY.format("host")} > 3.8 then 'entropy' end, case when {_COUNT.format("host", "-")} > 1 then 'hyphens' end,
         case when regexp_matches(host, '[0-9]') and {_COUNT.format("host", "[a-z]")} < 4 then 'digits' end] if f is not null], ',') as flags,
       coalesce({_TLD}, '') || ':' || case when {_COUNT.format("host", "-")} >= 3 then 'h' else 'l' end as family from {_HOSTS}""",
     "host_tokens": f"""select token, replace(token, 'rn', 'm') as collapsed, count(*) as n
@@ -184,10 +175,7 @@ ORACLES = {
     "page_probe": """select doc_id, title, password_field, sha256('200|' || coalesce(title, 'None') || '|' || case when password_field then 'True' else 'False' end) as fingerprint from (
       select doc_id, nullif(left(trim(regexp_replace(regexp_extract(text, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), 256), '') as title,
         coalesce(regexp_matches(text, '(?i)<input[^>]+type\\s*=\\s*[\"'']?password'), false) as password_field from documents)""",
-    "row_labels": """select id, score, case when score >= 0.99 then '0.99' when score >= 0.9 then '0.90' when score >= 0.7 then '0.70' when score >= 0.4 then '0.40' else 'low' end as band,
-      case when score >= 0.9 then 'CRITICAL' when score >= 0.4 then 'HIGH' else 'CLEAN' end as level,
-      case when sample_country <> '' and length(sample_country) <= 8 then sample_country when sample_isp <> '' and length(sample_isp) <= 3 then sample_isp end as country,
-      coalesce(model_used, 'none') || '@' || strftime(created_at, '%Y%m%dT%H%M%SZ') as tag
+    "row_labels": """select id, score, coalesce(model_used, 'none') || '@' || strftime(created_at, '%Y%m%dT%H%M%SZ') as tag
       from (select *, case when not isnan(risk_score) and not isinf(risk_score) then risk_score end as score from ct_observations)""",
     "times": f"""select kafka_offset, {_EPOCH} + to_microseconds(e) as event_time, {_EPOCH} + to_microseconds(p) as producer_time, p // 1000000 - e // 1000000 as latency_sec,
       {_EPOCH} + to_microseconds(e - e % 3600000000) as hour, strftime({_EPOCH} + to_microseconds(e), '%Y-%m-%d') as day

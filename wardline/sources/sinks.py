@@ -18,7 +18,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_file(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file by writing beside it and renaming."""
+    """Replace a small file: written beside it and renamed over it in one step, so a reader finds the old or the new one."""
     jvm, target, fs = _fs(spark, path)
     beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(beside, True)
@@ -26,10 +26,11 @@ def write_file(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"{path} could not be replaced")
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(files.makeQualified(beside), files.makeQualified(target), over)
 
 
 def kafka_rows(df: DataFrame, key: str = "domain") -> DataFrame:
@@ -98,8 +99,13 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def prune_days(spark: SparkSession, path: str, before: str, column: str = "ds", dry_run: bool = True) -> list[str]:
-    """Partitions of days before a date, by their names and never their file times; deleted unless dry."""
+def prune_days(spark: SparkSession, path: str, before: str, column: str = "ds", dry_run: bool = True, today: str | None = None) -> list[str]:
+    """Partitions of days before a date, by their names and never their file times; deleted unless dry.
+
+    ``today`` and what comes after it is never pruned: at least one day stays.
+    """
+    if today is not None:
+        before = min(before, today)
     _, root, fs = _fs(spark, path)
     if not fs.exists(root):
         return []
