@@ -19,6 +19,7 @@ GRAM_BUCKETS, CATEGORY_BUCKETS = 4096, 256
 LEXICAL = ["length", "digits", "hyphens", "dots", "digit_ratio", "hyphen_ratio", "entropy", "xn_punycode", "labels", "tld_len"]
 INFRASTRUCTURE = ["num_unique_ips", "has_ipv6", "num_countries", "num_asns"]
 REGISTRATION = ["age_days", "days_to_expiry", "created_isnull", "expires_isnull", "has_error"]
+ALL_PARTS = ("grams", "lexical", "infrastructure", "categories", "registration")
 #: Fitting reads at most so many labelled rows, chosen by a hash of their key; everything else covers all rows.
 MOST_TRAINING_ROWS = 2_000_000
 
@@ -54,6 +55,31 @@ def with_registration(df: DataFrame, created: Column, expires: Column, error: Co
     )
 
 
+#: Names that tables use for the same registration field, the first present one counts.
+REGISTRATION_ALIASES = {"created": ("whois_created", "created", "creation_date"), "expires": ("whois_expires", "expires", "expiration_date"), "error": ("whois_error", "error"), "registrar": ("registrar", "whois_registrar"), "status": ("whois_status", "status")}
+
+
+def registration_from(df: DataFrame, now: int) -> DataFrame:
+    """SC3: registration features from whatever columns the table has.
+
+    Raw fields, under the first of their names that is there, beat features that
+    were computed before; only a table without any raw time keeps those, missing ones as 0.
+    """
+    have = {c.lower(): c for c in df.columns}
+    found = {k: next((have[n] for n in names if n in have), None) for k, names in REGISTRATION_ALIASES.items()}
+    if found["created"] is None and found["expires"] is None:
+        return df.withColumns({c: F.coalesce(F.col(have[c]).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in REGISTRATION})
+
+    def at(k: str) -> Column:
+        return F.unix_micros(F.col(found[k]).try_cast("timestamp")) if found[k] else F.lit(None).cast("long")
+
+    def text(k: str) -> Column:
+        return F.when(~is_missing(F.col(found[k]).cast("string")), F.col(found[k]).cast("string")) if found[k] else F.lit(None).cast("string")
+
+    any_record = at("created").isNotNull() | at("expires").isNotNull() | text("registrar").isNotNull() | text("status").isNotNull() | text("error").isNotNull()
+    return with_registration(df, at("created"), at("expires"), text("error"), any_record, now)
+
+
 def prepared(df: DataFrame, host: Column, category_columns: Mapping[str, str]) -> DataFrame:
     """The rows with grams, category tokens and lexical numbers; missing infrastructure and registration numbers are 0."""
     rows = df.withColumns({"grams": char_grams(host), "tokens": categories(category_columns), **lexical_statistics(host)})
@@ -61,7 +87,7 @@ def prepared(df: DataFrame, host: Column, category_columns: Mapping[str, str]) -
     return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0) for c in [*LEXICAL, *INFRASTRUCTURE, *REGISTRATION]})
 
 
-def vectorizer(parts: Sequence[str] = ("grams", "lexical", "infrastructure", "categories", "registration")) -> list:
+def vectorizer(parts: Sequence[str] = ALL_PARTS) -> list:
     """Pipeline stages from prepared rows to ``features``: 4,371 columns with all parts."""
     stages: list = [HashingTF(inputCol="grams", outputCol="gram_counts", numFeatures=GRAM_BUCKETS), Normalizer(inputCol="gram_counts", outputCol="gram_vector"), HashingTF(inputCol="tokens", outputCol="category_vector", numFeatures=CATEGORY_BUCKETS)]
     inputs = {"grams": ["gram_vector"], "lexical": LEXICAL, "infrastructure": INFRASTRUCTURE, "categories": ["category_vector"], "registration": REGISTRATION}
@@ -84,11 +110,11 @@ def bounded(df: DataFrame, key: str, most: int = MOST_TRAINING_ROWS) -> DataFram
     return df if n <= most else df.where(F.pmod(F.xxhash64(F.lit(23), key), F.lit(1_000_000)) < int(most / n * 1_000_000))
 
 
-def fit(train: DataFrame, key: str, kind: str = "boosted", parts: Sequence[str] = ("grams", "lexical", "infrastructure", "categories", "registration"), most: int = MOST_TRAINING_ROWS) -> PipelineModel:
-    """Fit boosted trees or a logistic regression on prepared, labelled rows, classes balanced."""
+def fit(train: DataFrame, key: str, kind: str = "boosted", parts: Sequence[str] = ALL_PARTS, most: int = MOST_TRAINING_ROWS, rounds: int = 20, depth: int = 4, rate: float = 0.1) -> PipelineModel:
+    """Fit boosted trees (``rounds`` of ``depth``) or a logistic regression on prepared, labelled rows, classes balanced."""
     rows = balanced(bounded(train.withColumn("label", F.col("label").cast("double")), key, most))
     if kind == "boosted":
-        model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=20, maxDepth=4, stepSize=0.1, seed=42)
+        model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=42)
     else:
         model = LogisticRegression(labelCol="label", weightCol="weight", maxIter=100, regParam=1e-3)
     return Pipeline(stages=[*vectorizer(parts), model]).fit(rows)
@@ -129,6 +155,13 @@ def leave_one_source_out(df: DataFrame, source: str, key: str, kind: str = "logi
     return out
 
 
+def shortcut_check(train: DataFrame, test: DataFrame, key: str, kind: str = "logistic") -> dict[str, object]:
+    """SC10: areas on the test rows with all features and with infrastructure alone, and the band of their difference."""
+    areas = {name: evaluate(scored(fit(train, key, kind, parts), test))["roc_auc"] for name, parts in (("all", ALL_PARTS), ("infrastructure", ("infrastructure",)))}
+    known = None not in areas.values()
+    return areas | {"band": gap_band(areas["all"], areas["infrastructure"]) if known else None}
+
+
 def gap_band(all_features: float, infrastructure_only: float) -> str:
     """How much better all features are than infrastructure alone: under 0.05 a likely shortcut, under 0.15 unclear."""
     gap = all_features - infrastructure_only
@@ -148,6 +181,14 @@ def threshold(meta: Mapping[str, object] | None, model: str | None = None) -> fl
     return 0.90
 
 
+def primary(models: Mapping[str, PipelineModel | None]) -> tuple[str, PipelineModel]:
+    """SC4: the model that decides: the boosted one where there is one, else the regression."""
+    for name in PRIMARY:
+        if models.get(name) is not None:
+            return name, models[name]
+    raise ValueError("no model")
+
+
 def fused(score: Column, hit: Column, cut: float) -> tuple[Column, Column]:
     """The final label, model or indicator, and which of them decided."""
     ml, ioc = F.coalesce(score >= cut, F.lit(False)), F.coalesce(hit, F.lit(False))
@@ -164,6 +205,15 @@ def rule_weights(hits: DataFrame, rules: Sequence[str], label: str, weight: str,
     return {r: round(total * c / scale, 4) for r, c in zip(rules, positive)}
 
 
+def hold_load(old: DataFrame, old_cut: float, new: DataFrame) -> DataFrame:
+    """SC11: the threshold under new weights that lets no more weight through than ``old_cut`` did under the old ones, and the share of positives then.
+
+    ``old`` and ``new`` are score levels (``ranking.levels``).
+    """
+    volume = old.where(F.col("score") >= old_cut).agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    return ranking.budget(new, volume)
+
+
 def stratified_sample(df: DataFrame, host: str, quotas: Mapping[tuple[int, int], int], seed: int = 42, holdout: float = 0.2) -> DataFrame:
     """``quota`` hosts of each length bin (from, to), lowest seeded hash first, with ``holdout`` marked by hash."""
     bin_ = F.lit(None).cast("int")
