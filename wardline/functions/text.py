@@ -99,6 +99,11 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+def md5_bucket(n: int, *parts: Column) -> Column:
+    """One of ``n`` buckets by the MD5 of the parts, which any SQL engine has too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("long") % n
+
+
 def redact(c: Column, secrets: list[str]) -> Column:
     """The text with each secret masked."""
     for s in secrets:

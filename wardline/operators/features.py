@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions.hosts import is_missing, trimmed
-from wardline.functions.text import lexical_statistics
+from wardline.functions.text import lexical_statistics, md5_bucket
 from wardline.operators import ranking
 
 GRAM_BUCKETS, CATEGORY_BUCKETS = 4096, 256
@@ -132,7 +132,7 @@ def split_by_date(df: DataFrame, date: str, label: str, key: str, least: int = 3
         counts = df.groupBy((F.col(date) == F.lit(last)).alias("held"), label).agg(F.count("*").alias("n")).where("held is not null").collect()  # four rows
         if len(counts) == 4 and min(r["n"] for r in counts) >= least:
             return df.where(F.col(date) < F.lit(last)), df.where(F.col(date) == F.lit(last)), True
-    held = F.pmod(F.xxhash64(F.lit(42), F.col(label), F.col(key)), F.lit(4)) == 0
+    held = md5_bucket(4, F.lit(42), F.col(label), F.col(key)) == 0
     return df.where(~held), df.where(held), False
 
 

@@ -11,6 +11,7 @@ from wardline.functions.hosts import present, present_host
 from wardline.functions.times import from_micros, micros
 from wardline.operators import campaigns, merging, triage
 from wardline.plans.analytics import present_host_sql, present_sql
+from wardline.plans.names import CRC_TABLE, crc_sql
 from wardline.tables import table
 
 # The brands of the tables, with invented own domains, and common words beside them.
@@ -47,7 +48,7 @@ def triage_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triage_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Hosts by decision; sampling is by CRC-32, which the SQL engine lacks."""
+    """Hosts by decision."""
     return triage.triage(_stream_hosts(spark, d), "domain", RULES).groupBy("decision").agg(F.count("*").alias("n"))
 
 
@@ -248,6 +249,8 @@ sup as (select o.id, min(rule_id) as rule_id from o, rules where active and (exp
 
 ORACLES = {
     "triage_hosts": f"{_TRIAGE} select h as host, {_SCORE} as score, array_to_string([x for x in [r1, r2, r3, r4, r5, r6, r7, r8, r9] if x is not null], ';') as reasons from r",
+    "triage_counts": f"""{_TRIAGE}, {CRC_TABLE} select case when score >= 0.198 then 'forward' when {crc_sql("h")} % 10000 < 1000 or r1 is not null or r3 is not null or r4 is not null then 'spool' else 'drop' end as decision, count(*) as n
+      from (select *, {_SCORE} as score from r), crc_table group by 1""",
     "host_brands": f"{_BRANDS} select host, brand from named",
     "assembled_clusters": f"""{_BRANDS}, {_RULES}, c as (select brand, strftime(event_ts, '%Y-%m-%d') as day, case when contains(host, '.') then regexp_extract(host, '[^.]*$') else '' end || ':' || case when len(regexp_extract_all(host, '-')) >= 3 then 'h' else 'l' end as family, risk_score, event_ts
         from (select *, {present_host_sql("raw_host")} as host from ct_observations) join named using (host) where risk_score >= 0.5 and not isnan(risk_score) and event_ts is not null and id not in (select id from sup))

@@ -121,7 +121,7 @@ def evidence_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def crc_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """One in ten hosts by CRC-32, checked against a plain count."""
+    """One in ten hosts by CRC-32."""
     hosts = table(spark, d, "ct_observations").select(clean_host(F.col("raw_host")).alias("host")).distinct()
     bucket = F.crc32(F.col("host").cast("binary")) % 10000
     return hosts.select("host", bucket.alias("bucket"), (bucket < 1000).alias("sampled"))
@@ -146,6 +146,17 @@ QUERIES = {
     for f in (host_forms, host_statistics, host_flags, host_tokens, registered_domains, url_hosts, page_probe, row_labels, times, registration_ages, evidence_status, score_percentiles, provider_hits, crc_buckets)
 }
 
+#: CRC-32 by the table of its polynomial, which is built from it; ``crc_table`` goes into a WITH, ``crc_sql`` needs it beside the rows.
+CRC_TABLE = """crc_table as (select list(c order by n) as crcs from (select n, list_reduce(list_concat([n], [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+  from (select unnest(range(256))::bigint as n)))"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, in DuckDB's SQL."""
+    octets = f"[('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint for i in range(length(hex(encode({text}))) // 2)]"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 _HOSTS = f"(select distinct {host_sql('raw_host')} as host from ct_observations)"
 _ENTROPY = "coalesce(round(list_sum([-(n / length({0})) * log2(n / length({0})) for n in [length({0}) - length(replace({0}, c, '')) for c in list_distinct(string_split({0}, ''))] if n > 0]), 6), 0)"
 _COUNT = "len(regexp_extract_all({0}, '{1}'))"
@@ -186,6 +197,7 @@ ORACLES = {
       from (select *, registrar is null and whois_status is null and whois_created is null and whois_expires is null as nothing from ct_observations)""",
     "evidence_status": """select id, event_type, case when json_valid(detail) then try_cast(json_extract_string(detail, '$.http_status') as integer) end as http_status,
       detail is not null and not json_valid(detail) as broken from evidence_events""",
+    "crc_buckets": f"with {CRC_TABLE} select host, bucket, bucket < 1000 as sampled from (select host, {crc_sql('host')} % 10000 as bucket from {_HOSTS}, crc_table)",
     "score_percentiles": """select enrichment_level, round(quantile_cont(risk_score, 0.5), 6) as p50, round(quantile_cont(risk_score, 0.9), 6) as p90, round(quantile_cont(risk_score, 0.99), 6) as p99, count(*) as n
       from ct_observations where risk_score is not null and not isnan(risk_score) group by 1""",
     "provider_hits": f"""select provider, count(*) as n from (select case when regexp_matches(host, '(^|[.])com[.]qx$') then 'com.qx' when regexp_matches(host, '(^|[.])co[.]zz$') then 'co.zz'

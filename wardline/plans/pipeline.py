@@ -11,6 +11,7 @@ from wardline.functions.hosts import present, present_host
 from wardline.operators import campaigns, features, merging
 from wardline.plans.analytics import present_host_sql, present_sql
 from wardline.plans.campaigns import _BRANDS, _MEMBERS, OWN, WATCHED, _members, _observed
+from wardline.plans.names import CRC_TABLE, crc_sql
 from wardline.sources.feeds import read_since
 from wardline.tables import table
 
@@ -136,6 +137,8 @@ ORACLES = {
         where {present_sql("c.target_brand")} in ({", ".join(f"'{b}'" for b, _, _ in WATCHED)}))
       select cluster_id, target_brand, count(*) filter (where same) as n_good, count(*) filter (where not same) as n_bad,
         case when count(*) filter (where same) = 0 then 'delete' when count(*) filter (where not same) > 0 then 'prune' else 'keep' end as action from x group by 1, 2""",
+    "weighted_background": f"""with {CRC_TABLE}, f as (select {present_host_sql("domain")} as host, max(coalesce(triage_score, 0.0) >= 1.0) as forwarded from stream_ct where {present_host_sql("domain")} is not null group by 1)
+      select host, forwarded, case when forwarded then 1.0::double else 10.0::double end as weight from f, crc_table where forwarded or {crc_sql("host")} % 10000 < 1000""",
     "rank_changes": f"""select domain, id, event_ts, place from (select {present_host_sql("registered_domain")} as domain, id, event_ts, (row_number() over (partition by {present_host_sql("registered_domain")} order by event_ts desc, id desc))::integer as place
       from ct_observations where event_ts is not null and {present_host_sql("registered_domain")} is not null) where place <= 2""",
 }

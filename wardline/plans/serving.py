@@ -314,5 +314,9 @@ ORACLES = {
         {_DAYS.format("whois_created", f"({NOW_US} - epoch_us(whois_created))::double")} as age_days, {_DAYS.format("whois_expires", f"(epoch_us(whois_expires) - {NOW_US})::double")} as days_to_expiry,
         case when nothing then 0.0 else (whois_created is null)::integer::double end as created_isnull, case when nothing then 0.0 else (whois_expires is null)::integer::double end as expires_isnull
       from (select *, {present_host_sql("raw_host")} as host, registrar is null and whois_status is null and whois_created is null and whois_expires is null as nothing from ct_observations) where host is not null""",
+    "date_split": f"""with l as (select id, risk_label_final as label, strftime(event_ts, '%Y-%m-%d') as day from ct_observations where risk_label_final is not null and event_ts is not null and {present_host_sql("raw_host")} is not null),
+      s as (select *, day = max(day) over () as held from l), n as (select count(*) as n from s group by held, label),
+      c as (select *, (select count(*) = 4 and min(n) >= 30 from n) as by_date from s)
+      select case when case when by_date then held else ('0x' || left(md5('42|' || label || '|' || id), 12))::bigint % 4 = 0 end then 'test' else 'train' end as side, label, count(*) as n, by_date from c group by all""",
     "model_fusion": f"select coalesce(ti_misp_hit = 1, false) as hit, count(*) as n, 0::bigint as n_wrong, 0::bigint as n_unscored from ct_observations where risk_label_final is not null and {present_host_sql('raw_host')} is not null group by 1",
 }
