@@ -12,6 +12,8 @@ from wardline.functions.text import collapse_homoglyphs, edit_budget, tokens
 from wardline.scratch import materialize
 
 
+#: Distinct hosts of one campaign that a task compares with all of the campaign's.
+HOSTS_PER_TASK = 1000
 #: Registrar rules are written by people, one at a time; more than this are refused.
 MOST_PATTERNS = 1000
 
@@ -110,31 +112,45 @@ def membership_scores(members: DataFrame, decimals: int = 4) -> DataFrame:
 
     Equal hosts, networks and registrars are counted per cluster first, so the one
     pairwise step, which the definition asks for, is between distinct hosts of a
-    cluster; its pairs are summed as they are met and never kept.
+    cluster; its pairs are summed as they are met and never kept. No window runs
+    over a whole cluster: the middle is found by minutes, of which only the central ones are sorted.
     """
     m, _ = materialize(members.select("cluster_id", "observation_id", "host", "at", F.lower("asn").alias("asn"), F.lower("registrar").alias("registrar")), "members")
-    cluster = Window.partitionBy("cluster_id")
 
-    def overlap(c: str) -> Column:
-        same = F.count(F.col(c)).over(Window.partitionBy("cluster_id", c)) - 1
-        having = F.count(F.col(c)).over(cluster) - 1
-        return F.when(F.col(c).isNull() | (having <= 0), 0.0).otherwise(same / having)
+    def with_overlap(df: DataFrame, c: str) -> DataFrame:
+        same = m.where(F.col(c).isNotNull()).groupBy("cluster_id", c).agg(F.count("*").alias("_same"))
+        having = same.groupBy("cluster_id").agg(F.sum("_same").alias("_having"))
+        share = F.when(F.col(c).isNull() | (F.coalesce("_having", F.lit(0)) <= 1), 0.0).otherwise((F.col("_same") - 1) / (F.col("_having") - 1))
+        return df.join(same, ["cluster_id", c], "left").join(having, "cluster_id", "left").withColumn(f"_{c}", share).drop("_same", "_having")
 
-    # the others' upper median sits at place n/2 of the times without one's own
-    timed = m.withColumns({"n_at": F.count("at").over(cluster), "place": F.row_number().over(cluster.orderBy(F.col("at").asc_nulls_last(), "observation_id")) - 1})
-    middle = F.floor((F.col("n_at") - 1) / 2).cast("int")
-    picked = F.when(F.col("place") <= middle, middle + 1).otherwise(middle)
-    times = timed.where("at is not null").select("cluster_id", F.col("place").alias("_p"), F.col("at").alias("_mid"))
-    burst = timed.withColumn("_want", picked).join(times, (timed["cluster_id"] == times["cluster_id"]) & (F.col("_want") == F.col("_p")), "left").select(timed["*"], "_mid")
-    near = F.when(F.col("at").isNull() | (F.col("n_at") <= F.when(F.col("at").isNull(), 0).otherwise(1)), 0.5).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.least(F.abs(F.col("at") - F.col("_mid")) / F.lit(3.6e9), F.lit(24.0)) / F.lit(24.0)))
+    # the others' upper median is the whole's element at n/2, or the one before it, by whether one's own place is before it
+    minute = F.floor(F.col("at") / F.lit(60_000_000))
+    timed = m.where("at is not null").select("cluster_id", "observation_id", "at", minute.alias("_minute"))
+    per_minute = timed.groupBy("cluster_id", "_minute").agg(F.count("*").alias("_n"))
+    cluster = Window.partitionBy("cluster_id")
+    before = F.coalesce(F.sum("_n").over(cluster.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = per_minute.select("cluster_id", "_minute", "_n", before.alias("_before"), F.sum("_n").over(cluster).alias("n_at")).withColumn("_middle", F.floor((F.col("n_at") - 1) / 2))
+    central = placed.where((F.col("_before") <= F.col("_middle") + 1) & (F.col("_before") + F.col("_n") > F.col("_middle")))
+    # only the minutes around the middle are sorted
+    ranked = timed.join(central, ["cluster_id", "_minute"]).withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("cluster_id", "_minute").orderBy("at", "observation_id")) - 1)
+    at_place = lambda k: F.min(F.when(F.col("_place") == F.col("_middle") + k, F.struct("at", "observation_id")))
+    middles = ranked.groupBy("cluster_id").agg(F.max("n_at").alias("n_at"), at_place(0).alias("_lower"), at_place(1).alias("_upper"))
+    first_half = F.struct("at", "observation_id") <= F.col("_lower")
+    middle = F.when(F.col("at").isNull() | ~first_half, F.col("_lower.at")).otherwise(F.col("_upper.at"))
+    alone = F.coalesce("n_at", F.lit(0)) <= F.when(F.col("at").isNull(), 0).otherwise(1)
+    near = F.when(F.col("at").isNull() | alone, 0.5).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.least(F.abs(F.col("at") - middle) / F.lit(3.6e9), F.lit(24.0)) / F.lit(24.0)))
 
     hosts = m.where("host is not null and host <> ''").groupBy("cluster_id", "host").agg(F.count("*").alias("k"))
-    other = hosts.select(F.col("cluster_id").alias("_c"), F.col("host").alias("_o"), F.col("k").alias("_k"))
+    hosts, _ = materialize(hosts, "cluster-hosts")
+    # a cluster of many hosts is dealt to several tasks, each of which meets all of its hosts
+    tasks = hosts.groupBy("cluster_id").agg(F.ceil(F.count("*") / F.lit(HOSTS_PER_TASK)).cast("int").alias("_tasks"))
+    own = hosts.join(tasks, "cluster_id").select("cluster_id", "host", F.pmod(F.xxhash64("host"), F.col("_tasks")).cast("int").alias("_task"))
+    other = hosts.join(tasks, "cluster_id").select("cluster_id", F.col("host").alias("_o"), F.col("k").alias("_k"), F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)).alias("_task"))
     alike = 1 - F.levenshtein("host", "_o") / F.greatest(F.length("host"), F.length("_o"), F.lit(1))
-    sums = hosts.join(other, F.col("cluster_id") == F.col("_c")).groupBy("cluster_id", "host").agg(F.sum(alike * F.col("_k")).alias("_sum"), F.sum("_k").alias("_all"))
+    sums = own.join(other, ["cluster_id", "_task"]).groupBy("cluster_id", "host").agg(F.sum(alike * F.col("_k")).alias("_sum"), F.sum("_k").alias("_all"))
     lexical = F.when(F.col("_all") > 1, (F.col("_sum") - 1) / (F.col("_all") - 1)).otherwise(0.0)
 
-    full = burst.withColumns({"_burst": near, "_asn": overlap("asn"), "_registrar": overlap("registrar")}).join(sums, ["cluster_id", "host"], "left")
+    full = with_overlap(with_overlap(m.join(middles, "cluster_id", "left").withColumn("_burst", near), "asn"), "registrar").join(sums, ["cluster_id", "host"], "left")
     score = F.lit(0.30) + 0.25 * F.col("_burst") + 0.20 * F.coalesce(lexical, F.lit(0.0)) + 0.15 * F.col("_asn") + 0.10 * F.col("_registrar")
     return full.select("cluster_id", "observation_id", F.bround(score, decimals).alias("score"))
 

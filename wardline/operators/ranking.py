@@ -1,9 +1,8 @@
 """Evaluation of rankings: precision at K, ROC and PR area, thresholds, budgets.
 
 Whatever needs a running total over a whole ranking is first aggregated to
-distinct score levels, so the one-partition window runs over levels, not rows.
-Scores are rounded to ``DIGITS`` for that, which bounds the levels whatever the
-size of the table.
+distinct score levels, and these to blocks; the one-partition window runs over
+blocks, of which there are at most a million between 0 and 1.
 """
 
 from __future__ import annotations
@@ -13,16 +12,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS = 6
+BLOCK_DIGITS = 6
 
 
-def levels(rows: DataFrame, score: Column, positive: Column, weight: Column | None = None) -> DataFrame:
-    """Per score level, highest first: rows, positives, weight, and their running totals."""
+def levels(rows: DataFrame, score: Column, positive: Column, weight: Column | None = None, digits: int | None = None) -> DataFrame:
+    """Per score level, highest first: rows, positives, weight, and their running totals.
+
+    Levels are the exact scores, or scores rounded to ``digits`` where that is
+    enough. Running totals are taken within blocks of scores that agree to
+    ``BLOCK_DIGITS``, plus the totals of the blocks above, so no window runs over all levels.
+    """
     w = F.lit(1.0) if weight is None else weight
-    per = rows.select(F.round(score, DIGITS).alias("score"), positive.cast("long").alias("p"), w.alias("w")).where("score is not null and not isnan(score)")
-    per = per.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.coalesce("p", F.lit(0))).alias("n_pos"), F.sum("w").alias("weight"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return per.withColumns({"above": F.sum("n").over(down), "above_pos": F.sum("n_pos").over(down), "above_weight": F.sum("weight").over(down)})
+    per = rows.select((score if digits is None else F.round(score, digits)).alias("score"), positive.cast("long").alias("p"), w.alias("w")).where("score is not null and not isnan(score)")
+    per = per.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.coalesce("p", F.lit(0))).alias("n_pos"), F.sum("w").alias("weight")).withColumn("_block", F.round("score", BLOCK_DIGITS))
+    totals = per.groupBy("_block").agg(F.sum("n").alias("_n"), F.sum("n_pos").alias("_p"), F.sum("weight").alias("_w"))
+    over = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    above = totals.select("_block", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(c) for c in ("_n", "_p", "_w")])
+    down = Window.partitionBy("_block").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = per.join(above, "_block")
+    return both.select("score", "n", "n_pos", "weight", (F.col("_n") + F.sum("n").over(down)).alias("above"), (F.col("_p") + F.sum("n_pos").over(down)).alias("above_pos"), (F.col("_w") + F.sum("weight").over(down)).alias("above_weight"))
 
 
 def precision_at(rows: DataFrame, score: str, positive: Column, key: str, ks: Sequence[int]) -> DataFrame:

@@ -260,7 +260,7 @@ ca as (select registered_domain, min(a) as a, max(risk_score) as risk_score from
 ba as (select registered_domain, min(b) as b, string_agg(distinct x, ',' order by x) as sources from (select registered_domain, b, unnest(string_split(sources, ',')) as x from bl where raw_host not in (select raw_host from ct)) group by 1),
 m as (select ct.raw_host, ct.registered_domain, a, b, risk_score, sources, 'exact_hostname' as match_tier from ct join bl using (raw_host)
       union all select ca.registered_domain, ca.registered_domain, a, b, risk_score, sources, 'registered_domain' from ca join ba using (registered_domain))"""
-_LEVELS = """with l0 as (select round(risk_score, 6) as score, count(*) as n, count(*) filter (where ti_misp_hit > 0) as p from ct_observations where risk_score is not null and not isnan(risk_score) group by 1),
+_LEVELS = """with l0 as (select risk_score as score, count(*) as n, count(*) filter (where ti_misp_hit > 0) as p from ct_observations where risk_score is not null and not isnan(risk_score) group by 1),
 l as (select *, sum(n) over w as above, sum(p) over w as above_pos, sum(n) over () as total, sum(p) over () as pos from l0 window w as (order by score desc rows unbounded preceding))"""
 
 ORACLES = {
