@@ -54,11 +54,19 @@ def test_fusion_thresholds_and_promotion(spark):
     df = spark.createDataFrame([(0.95, True), (0.95, False), (0.1, True), (0.1, None), (None, None)], "s double, h boolean")
     label, reason = X.fused(F.col("s"), F.col("h"), 0.9)
     assert [tuple(r) for r in df.select(label, reason).collect()] == [(1, "MISP_AND_ML"), (1, "ML_SCORE"), (1, "MISP_IOC"), (0, "BENIGN_BASELINE"), (0, "BENIGN_BASELINE")]
-    assert X.threshold({"threshold": 0.7}) == 0.7 and X.threshold({}) == 0.9 and X.threshold({"threshold": "x"}) == 0.9
-    good = {"n_pos": 5, "n_neg": 5, "roc_auc": 0.9, "benign_fpr": 0.01}
-    assert X.promotion(good, None) == (True, "no champion") and X.promotion(good, good)[0]
-    assert not X.promotion(good | {"n_neg": 0}, None)[0] and not X.promotion(good | {"roc_auc": float("nan")}, None)[0] and not X.promotion(good | {"roc_auc": 0.6}, None)[0]
-    assert not X.promotion(good | {"roc_auc": 0.85}, good)[0] and not X.promotion(good | {"benign_fpr": 0.2}, good)[0]
+    nested = {"metrics": {"lgbm_full": {"threshold_at_1pct_fpr": 0.42}, "logreg_full": {"fpr_1pct_threshold": "0.5"}}, "threshold_at_1pct_fpr": 0.7}
+    assert X.threshold(nested, "lgbm_full") == 0.42 and X.threshold(nested, "logreg_full") == 0.5 and X.threshold(nested, "other") == X.threshold(nested) == 0.7
+    assert X.threshold({}) == X.threshold(None, "lgbm_full") == X.threshold({"metrics": {"lgbm_full": {"threshold_at_1pct_fpr": "x"}}, "fpr_1pct_threshold": None}, "lgbm_full") == 0.9
+
+    def run(area=0.9, fpr=0.01, model="lgbm_full", **more):
+        return {"n_pos": 5, "n_neg": 5, "used_temporal_split": True, "metrics": {model: {"roc_auc": area}}, "benign_holdout_fpr": {"fpr": fpr}} | more
+
+    assert X.promotion(run(), None) == (True, "no champion", []) and X.promotion(run(), run()) == (True, "not worse", [])
+    assert X.promotion(run(n_neg=0), None)[1] == "one class only" and X.promotion(run(area=float("nan")), None)[1] == "unknown area" and X.promotion(run(area=0.6), None)[1] == "below the floor"
+    assert X.promotion(run(area=0.85), run())[1] == "area regressed" and X.promotion(run(fpr=0.2), run())[1] == "false positives regressed"
+    assert X.promotion(run(model="logreg_full"), run(area=0.89)) == (True, "not worse", []) and X.promotion(run(), {"metrics": None}) == (True, "no champion", [])
+    assert X.promotion(run(benign_holdout_fpr=None, used_temporal_split=False), run()) == (True, "not worse", ["no temporal split", "benign rate unknown of candidate"])
+    assert X.primary({"logreg_full": 1, "lgbm_full": None}) == ("logreg_full", 1) and X.primary({"logreg_full": 1, "lgbm_full": 2}) == ("lgbm_full", 2)
     log = spark.createDataFrame([(1, "yes", None), (2 * 3_600_000_000, "no", "worse")], "at long, promoted string, reason string")
     assert X.gate_ran(log, "at", ["promoted", "reason"], 3 * 3_600_000_000, 2) == (True, "ok") and X.gate_ran(log, "at", ["promoted"], 9 * 3_600_000_000, 2) == (False, "too old")
     assert X.gate_ran(log.where("at = 1"), "at", ["promoted", "reason"], 2, 2) == (False, "incomplete: reason") and X.gate_ran(log.where("false"), "at", [], 0, 1) == (False, "no entry")
@@ -84,3 +92,25 @@ def test_no_source_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(X, "scored", lambda _, test: test)
     monkeypatch.setattr(X, "evaluate", lambda _: {})
     assert list(X.leave_one_source_out(df, "source", "id")) == [f"f{i:03}" for i in range(103)]
+
+
+def test_registration_from_whatever_is_there(spark):
+    now = 100 * 86_400_000_000
+    raw = spark.createDataFrame([("1970-01-31", "1970-05-01", "r"), (None, None, None)], "created string, whois_expires string, registrar string").withColumns({"age_days": F.lit(7.0), "has_error": F.lit(1)})
+    got = [tuple(r) for r in X.registration_from(raw, now).select("age_days", "days_to_expiry", "created_isnull", "expires_isnull", "has_error").collect()]
+    assert got == [(70.0, 20.0, 0, 0, 0), (0.0, 0.0, 0, 0, 0)]
+    before = spark.createDataFrame([(7.0, None)], "age_days double, days_to_expiry double")
+    assert X.registration_from(before, now).select(*X.REGISTRATION).first() == (7.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_shortcut_check_and_held_load(spark):
+    from wardline.operators import ranking
+
+    rnd = random.Random(8)
+    rows = [(i, "bad-login%d.xyz" % i if y else "plain%s.test" % "".join(rnd.choice("abcdef") for _ in range(6)), y, rnd.randrange(4)) for i in range(120) for y in [i % 2]]
+    df = X.prepared(spark.createDataFrame(rows, "id long, host string, label int, num_unique_ips int"), F.col("host"), {})
+    got = X.shortcut_check(df.where("id < 80"), df.where("id >= 80"), "id")
+    assert got["all"] > 0.9 and got["band"] == X.gap_band(got["all"], got["infrastructure"])
+    old = ranking.levels(spark.createDataFrame([(0.1 * k, k % 3 == 0) for k in range(10)], "s double, p boolean"), F.col("s"), F.col("p"))
+    new = ranking.levels(spark.createDataFrame([(0.01 * k, k % 2 == 0) for k in range(10)], "s double, p boolean"), F.col("s"), F.col("p"))
+    assert abs(X.hold_load(old, 0.65, new).first()["threshold"] - 0.07) < 1e-12

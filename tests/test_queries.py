@@ -3,10 +3,10 @@ import os
 import pytest
 
 from tests.oracle import connect, plan_of, same
-from wardline.plans import analytics, campaigns, dealt, names, pipeline, serving
+from wardline.plans import analytics, campaigns, dealt, flow, names, pipeline, serving
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = (dealt, names, analytics, campaigns, pipeline, serving)
+MODULES = (dealt, names, analytics, campaigns, pipeline, serving, flow)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 

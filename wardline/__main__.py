@@ -11,7 +11,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-MODULES = ["wardline.plans.dealt", "wardline.plans.names", "wardline.plans.analytics", "wardline.plans.campaigns", "wardline.plans.pipeline", "wardline.plans.serving"]
+MODULES = ["wardline.plans.dealt", "wardline.plans.names", "wardline.plans.analytics", "wardline.plans.campaigns", "wardline.plans.pipeline", "wardline.plans.serving", "wardline.plans.flow"]
 
 
 def main(args: list[str]) -> int:

@@ -24,10 +24,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, which ``purge`` knows by its name."""
+    return f"{scratch_dir(spark).rstrip('/')}/wardline-{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/wardline-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

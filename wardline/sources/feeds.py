@@ -6,6 +6,8 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +24,19 @@ def read_tolerant(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("mergeSchema", True).parquet(path)
 
 
+def newest_files(spark: SparkSession, folder: str, n: int = 1, ending: str = ".parquet") -> list[str]:
+    """The ``n`` files or folders of that ending that were modified last, newest first; equal times by name."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(-x.getModificationTime(), x.getPath().toString()) for x in (fs.listStatus(root) if fs.exists(root) else []) if x.getPath().getName().endswith(ending)]
+    return [path for _, path in sorted(found)[:n]]
+
+
+def recent_partitions(df: DataFrame, today: str, days: int, column: str = "ingest_date") -> DataFrame:
+    """The rows of the last ``days`` partitions by date, up to ``today``; the condition prunes the scan. Rows without a date drop out."""
+    return df.where((F.col(column) > F.date_sub(F.lit(today).cast("date"), days).cast("string")) & (F.col(column) <= today))
+
+
 def read_since(df: DataFrame, column: str, bookmark: object | None) -> DataFrame:
     """Rows beyond a bookmark; the comparison reaches the scan. Without a bookmark all rows."""
     return df if bookmark is None else df.where(F.col(column) > F.lit(bookmark))
@@ -91,9 +106,18 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def malware_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV feed without header, ``#`` comments, nine columns."""
-    schema = "id string, dateadded string, url string, status string, last_online string, threat string, tags string, link string, reporter string"
-    return spark.read.schema(schema).csv(path, comment="#", quote='"', escape='"').where(F.col("url").isNotNull()).withColumn("domain", url_host(F.col("url")))
+    """A CSV feed without header, ``#`` comments, nine columns.
+
+    Where the usual column holds few URLs, the first column of which more than half
+    are URLs is taken for it, else the first.
+    """
+    names = ["id", "dateadded", "url", "status", "last_online", "threat", "tags", "link", "reporter"]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path, comment="#", quote='"', escape='"')
+    shares = rows.agg(*[F.avg(F.coalesce(F.col(n).rlike("^https?://"), F.lit(False)).cast("double")).alias(n) for n in names]).first()
+    at = next((n for n in ["url", *names] if (shares[n] or 0) > 0.5), names[0])
+    if at != "url":
+        rows = rows.withColumn("url", F.col(at))
+    return rows.where(F.col("url").isNotNull()).withColumn("domain", url_host(F.col("url")))
 
 
 def feed_time(spark: SparkSession, path: str) -> str | None:
@@ -103,6 +127,16 @@ def feed_time(spark: SparkSession, path: str) -> str | None:
     return row["t"] if row else None
 
 
+def demand_fresh(spark: SparkSession, path: str, now: str, most_hours: float = 12.0) -> str | None:
+    """The feed's update time; raises ``ValueError`` where it names one that is older. A feed that names none passes."""
+    said = feed_time(spark, path)
+    if said is not None:
+        age = (datetime.fromisoformat(now) - datetime.fromisoformat(said)).total_seconds() / 3600
+        if age > most_hours:
+            raise ValueError(f"feed is {age:.1f} hours old")
+    return said
+
+
 def event_index(pages: DataFrame, html: str, around: str, hours: int = 3, most: int = 100) -> DataFrame:
     """Links of a directory page with their times, those within ``hours`` of a moment, newest first."""
     rows = pages.select(F.explode(F.regexp_extract_all(html, F.lit(r'(href="[^"]+\.json">[^<]*</a>\s*\d{4}-\d{2}-\d{2} \d{2}:\d{2})'), F.lit(1))).alias("x"))
@@ -124,8 +158,12 @@ def indicators(df: DataFrame, payload: str = "value") -> DataFrame:
     attributes = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in ("$.Event.Attribute", "$.event.attribute", "$.Event.attribute", "$.event.Attribute")])
     tags = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in ("$.Event.Tag", "$.event.tag", "$.Event.tag")])
     names = F.array_join(F.transform(tags, lambda t: F.coalesce(F.try_variant_get(t, "$.name", "string"), F.try_variant_get(t, "$.Name", "string"))), ",")
-    rows = df.select(first(v, "$.Event.id", "$.event.id", "$.Event.uuid").alias("event_id"), first(v, "$.Event.Orgc.name", "$.event.orgc.name").alias("orgc"), names.alias("tags"), F.explode(attributes).alias("a"))
-    out = rows.select("event_id", "orgc", "tags", first(F.col("a"), "$.value", "$.Value").alias("indicator"), first(F.col("a"), "$.type", "$.Type").alias("type"), first(F.col("a"), "$.category", "$.Category").alias("category"))
+    clusters = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in ("$.Event.Galaxy", "$.event.galaxy", "$.Event.galaxies", "$.event.galaxies")])
+    galaxies = F.array_join(F.filter(F.transform(clusters, lambda g: F.try_variant_get(g, "$.name", "string")), lambda n: n.isNotNull()), ",")
+    rows = df.select(
+        first(v, "$.Event.id", "$.event.id", "$.Event.uuid").alias("event_id"), first(v, "$.Event.Orgc.name", "$.event.orgc.name").alias("orgc"), names.alias("tags"), galaxies.alias("galaxies"), F.explode(attributes).alias("a")
+    )
+    out = rows.select("event_id", "orgc", "tags", "galaxies", first(F.col("a"), "$.value", "$.Value").alias("indicator"), first(F.col("a"), "$.type", "$.Type").alias("type"), first(F.col("a"), "$.category", "$.Category").alias("category"))
     return out.where(F.col("type").isin("domain", "hostname", "url") & F.col("indicator").isNotNull())
 
 
@@ -215,35 +253,64 @@ def latest_snapshot(spark: SparkSession, folder: str, pointer: str = "latest.jso
 
 
 def freshness(df: DataFrame) -> DataFrame:
-    """Files, rows and newest modification of a table read from files."""
-    meta = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("t"))
-    return meta.agg(F.count_distinct("f").alias("files"), F.count("*").alias("rows"), F.max("t").alias("newest"))
+    """Partitions (folders), files, rows and newest modification of a table read from files, and its age in seconds."""
+    meta = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("t")).groupBy("f").agg(F.count("*").alias("n"), F.max("t").alias("t"))
+    one = meta.agg(F.count_distinct(F.regexp_replace("f", "/[^/]*$", "")).alias("partitions"), F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.max("t").alias("newest"))
+    return one.withColumn("age_seconds", F.unix_seconds(F.current_timestamp()) - F.unix_seconds("newest"))
+
+
+class Breaker:
+    """Opens after so many failures in a row, lets one probe through after a pause, closes on its success and opens again on its failure."""
+
+    def __init__(self, failures: int = 5, pause: float = 300.0, clock: Callable[[], float] = time.monotonic) -> None:
+        self.failures, self.pause, self.clock = failures, pause, clock
+        self.bad, self.opened = 0, None
+
+    @property
+    def state(self) -> str:
+        """``closed``, ``open``, or ``half_open`` when a probe is due."""
+        if self.opened is None:
+            return "closed"
+        return "half_open" if self.clock() - self.opened >= self.pause else "open"
+
+    def told(self, good: bool) -> None:
+        """What came of a call."""
+        probe = self.state == "half_open"
+        self.bad = 0 if good else self.bad + 1
+        if good:
+            self.opened = None
+        elif probe or self.bad >= self.failures:
+            self.opened = self.clock()
 
 
-def look_up(df: DataFrame, key: str, fetcher: Callable[[str], str | None], per_second: float = 20.0, failures: int = 5) -> DataFrame:
+def look_up(df: DataFrame, key: str, fetcher: Callable[[str], str | None], per_second: float = 20.0, failures: int = 5, pause: float = 300.0, timeout: float = 30.0, tasks: int | None = None) -> DataFrame:
     """An external lookup of each distinct key by an injected function, off unless called.
 
-    Calls are rate-limited per task and stop after so many failures in a row; keys that
+    ``per_second`` is the rate of all ``tasks`` together (by default the session's
+    shuffle width), each of which takes its part. A call that takes longer than
+    ``timeout`` counts as failed. After ``failures`` in a row a task pauses its calls, see ``Breaker``; keys that
     weren't looked up have ``outcome`` ``skipped``.
     """
+    width = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bad, due = 0, 0.0
+        breaker, due = Breaker(failures, pause), 0.0
+        pool = ThreadPoolExecutor(8)  # a call that never ends holds one thread
         for frame in frames:
             rows = []
             for k in frame[key]:
-                if bad >= failures:
+                if breaker.state == "open":
                     rows.append((k, None, "skipped"))
                     continue
                 time.sleep(max(0.0, due - time.monotonic()))
-                due = time.monotonic() + 1.0 / per_second
+                due = time.monotonic() + width / per_second
                 try:
-                    rows.append((k, fetcher(k), "ok"))
-                    bad = 0
+                    rows.append((k, pool.submit(fetcher, k).result(timeout), "ok"))
+                    breaker.told(True)
                 except Exception as e:  # noqa: BLE001 - any failure of a foreign service counts
-                    rows.append((k, None, f"error: {e}"))
-                    bad += 1
+                    rows.append((k, None, f"error: {str(e) or type(e).__name__}"))
+                    breaker.told(False)
             yield pd.DataFrame(rows, columns=[key, "answer", "outcome"])
 
     ship(df.sparkSession)
-    return df.select(key).where(F.col(key).isNotNull()).distinct().mapInPandas(run, f"`{key}` string, answer string, outcome string")
+    return df.select(key).where(F.col(key).isNotNull()).distinct().repartition(width, key).mapInPandas(run, f"`{key}` string, answer string, outcome string")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,67 @@ def bookmark(spark: SparkSession, path: str) -> str | None:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])["value"] if fs.exists(p) else None
 
 
+class Outbox:
+    """K6: events that couldn't be sent wait in folders of JSON lines; sealed ones are sent oldest first and deleted once acknowledged.
+
+    A crash between sending and deleting sends a folder again, which the
+    de-duplication downstream absorbs; a line that was torn is left out and counted.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def append(self, events: DataFrame) -> None:
+        """Write events aside; they wait for ``seal``."""
+        events.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{self.folder}/open-{time.time_ns():020}")
+
+    def _list(self, kind: str) -> list:
+        _, root, fs = _fs(self.spark, self.folder)
+        return sorted((x for x in (fs.listStatus(root) if fs.exists(root) else []) if x.getPath().getName().startswith(kind)), key=lambda x: x.getPath().getName())
+
+    def seal(self) -> int:
+        """Close what has been written whole; returns how many folders. What a crash left without its mark of success stays open."""
+        jvm, _, fs = _fs(self.spark, self.folder)
+        path = jvm.org.apache.hadoop.fs.Path
+        whole = [x.getPath() for x in self._list("open-") if fs.exists(path(x.getPath(), "_SUCCESS"))]
+        return sum(bool(fs.rename(p, path(p.getParent(), p.getName().replace("open-", "sealed-", 1)))) for p in whole)
+
+    def pending(self) -> int:
+        """Events that wait, sealed or not."""
+        paths = [x.getPath().toString() for x in self._list("")]
+        return self.spark.read.text(paths).where("trim(value) <> ''").count() if paths else 0
+
+    def replay(self, send: Callable[[DataFrame], bool]) -> dict[str, int]:
+        """Seal, then give each folder's valid lines (``value``) to ``send``, oldest first; a folder goes when that returns true and stays if it doesn't or raises."""
+        self.seal()
+        told = {"replayed": 0, "torn": 0, "kept": 0}
+        _, _, fs = _fs(self.spark, self.folder)
+        for x in self._list("sealed-"):
+            lines = self.spark.read.text(x.getPath().toString()).where("trim(value) <> ''")
+            good = F.try_parse_json("value").isNotNull()
+            n, n_good = lines.agg(F.count("*"), F.count_if(good)).first()
+            try:
+                done = bool(send(lines.where(good))) if n_good else True
+            except Exception as e:  # noqa: BLE001 - the receiver may fail in any way
+                logging.getLogger(__name__).warning("replay of %s interrupted, it is kept: %r", x.getPath().getName(), e)
+                done = False
+            if done:
+                fs.delete(x.getPath(), True)
+                told["replayed"] += n_good
+                told["torn"] += n - n_good
+            else:
+                told["kept"] += 1
+        return told
+
+    def prune(self, older_than_days: float, now_ms: int) -> int:
+        """Delete sealed folders that are older, with the events in them; returns how many. Open ones stay."""
+        _, _, fs = _fs(self.spark, self.folder)
+        old = [x.getPath() for x in self._list("sealed-") if x.getModificationTime() < now_ms - older_than_days * 86_400_000]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)
+
+
 def append_by_day(df: DataFrame, path: str, day: str = "ds") -> None:
     """K1: append to a table partitioned by day."""
     df.write.mode("append").partitionBy(day).parquet(path)
@@ -149,3 +212,20 @@ def export_campaigns(clusters: DataFrame, members: DataFrame, when: str) -> Data
     objects = F.concat(F.array(campaign), F.transform("x", lambda m: m["i"]), F.transform("x", lambda m: m["r"]))
     document = F.concat(F.lit('{"type":"bundle","id":"bundle--'), stable_uuid(F.lit("bundle"), F.col("id").cast("string"), F.col("part").cast("string")), F.lit('","spec_version":"2.1","objects":['), F.array_join(objects, ","), F.lit("]}"))
     return joined.select("id", "part", document.alias("document"))
+
+
+def export_plain(clusters: DataFrame, members: DataFrame, dispositions: DataFrame, when: str) -> DataFrame:
+    """One plain JSON document per campaign (``id``, ``part``, ``document``): the campaign, its newest disposition and its indicators.
+
+    ``members`` has ``id`` of the campaign and an ``indicator`` struct; ``dispositions``
+    has ``cluster_id``, ``id`` and whatever is to be shown. A campaign of very many members
+    comes in several documents of 1,000 on average; one without members in one.
+    """
+    shown = [c for c in dispositions.columns if c not in ("cluster_id", "id")]
+    newest = dispositions.where("cluster_id is not null").groupBy("cluster_id").agg(F.max_by(F.struct(*shown), "id").alias("_disposition"))
+    spread = members.groupBy("id").agg(F.count("*").alias("_n")).select("id", F.ceil(F.col("_n") / 1000).cast("int").alias("_parts"))
+    packed = members.join(spread, "id").withColumn("part", F.pmod(F.xxhash64("indicator"), F.col("_parts")).cast("int")).groupBy("id", "part").agg(F.array_sort(F.collect_list("indicator")).alias("_indicators"))
+    joined = clusters.join(newest, clusters["id"] == newest["cluster_id"], "left").drop("cluster_id").join(packed, "id", "left")
+    campaign = F.struct(*[F.col(c) for c in clusters.columns])
+    document = F.to_json(F.struct(F.lit("json").alias("export_format"), F.lit(when).alias("exported_at"), campaign.alias("campaign"), F.col("_disposition").alias("disposition"), F.coalesce("_indicators", F.array()).alias("indicators")), {"ignoreNullFields": "false"})
+    return joined.select("id", F.coalesce("part", F.lit(0)).alias("part"), document.alias("document"))

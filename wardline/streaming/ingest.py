@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import time
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +16,7 @@ from wardline.functions.times import from_micros, text_micros
 from wardline.operators import late
 from wardline.operators.triage import Rules, triage
 from wardline.scratch import discard
+from wardline.sources import sinks
 from wardline.sources.feeds import parse_events
 
 #: Session settings of the long-running stream: state size and retention, and the watermark of several inputs.
@@ -256,3 +259,36 @@ class Watchdog:
             self.told = now
             self.tell("still_stale", age)
         return "still_stale"
+
+
+class Liveness(StreamingQueryListener):
+    """ST7: looks, at each progress of the query ``name``, whether rows still come; what it last saw outlives a restart in a small file."""
+
+    def __init__(self, spark: SparkSession, name: str, path: str, dog: Watchdog, clock: Callable[[], float] = time.time) -> None:
+        self.spark, self.name, self.path, self.dog, self.clock = spark, name, path, dog, clock
+        _, p, fs = sinks._fs(spark, path)
+        seen = json.loads(spark.read.text(path, wholetext=True).first()[0]) if fs.exists(p) else {}
+        self.newest = seen.get("newest", clock())
+        dog.stale_since, dog.told = seen.get("stale_since"), seen.get("told", 0.0)
+
+    def look(self, rows: int) -> str:
+        """One progress that brought so many rows."""
+        now = self.clock()
+        if rows:
+            self.newest = now
+        state = self.dog.look(self.newest, now)
+        sinks.write_file(self.spark, self.path, json.dumps({"newest": self.newest, "stale_since": self.dog.stale_since, "told": self.dog.told}))
+        return state
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if event.progress.name == self.name:
+            self.look(event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self.look(0)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
