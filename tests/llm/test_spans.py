@@ -120,3 +120,8 @@ def test_footers_are_counted_without_pairs(spark):
     assert {tuple(r) for r in found.all_pairs().collect()} == pairs
     rows = found.groups.count()
     assert rows < 3 * len(docs)
+    spans.GROUP_ROWS = 7
+    try:
+        assert {tuple(r) for r in found.all_pairs().collect()} == pairs
+    finally:
+        spans.GROUP_ROWS = 1000

@@ -38,6 +38,8 @@ WIDTH = SPAN - GRAM + 1
 FEW = 64
 #: Pairs that are compared, and windows that are laid out, at a time: some 20 MB.
 PAIRS, MEMBERS = 4096, 8192
+#: Representatives of a large group that one task pairs with all of the group.
+GROUP_ROWS = 1000
 #: Groups of more than FEW records that one record is in, up to which its partners are counted by inclusion and exclusion.
 MOST_SETS = 8
 _MATCH = "a long, b long, start_a int, start_b int, chars int"
@@ -219,8 +221,11 @@ class SharedSpans:
         self.few = few
 
     def _within(self, groups: DataFrame) -> DataFrame:
-        """Pairs of representatives of one group, each perhaps several times."""
-        return groups.select("g", F.col("doc").alias("a")).join(groups.select("g", F.col("doc").alias("b")), "g").where("a < b").select("a", "b")
+        """Pairs of representatives of one group, each perhaps several times; a large group is dealt to several tasks, each of which meets all of it."""
+        tasks = F.ceil(F.col("size") / F.lit(GROUP_ROWS)).cast("int")
+        own = groups.select("g", F.col("doc").alias("a"), F.pmod(F.xxhash64("doc"), tasks).cast("int").alias("_task"))
+        other = groups.select("g", F.col("doc").alias("b"), F.explode(F.sequence(F.lit(0), tasks - 1)).alias("_task"))
+        return own.join(other, ["g", "_task"]).where("a < b").select("a", "b")
 
     def all_pairs(self) -> DataFrame:
         """``doc_id_a`` < ``doc_id_b``: all pairs of documents, copies too."""
