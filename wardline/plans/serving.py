@@ -194,7 +194,7 @@ def address_countries(spark: SparkSession, d: str) -> DataFrame:
 def feature_numbers(spark: SparkSession, d: str) -> DataFrame:
     """SC1-SC3: what a host's vector is made of: numbers of grams and category tokens, statistics, infrastructure, registration."""
     rows = features.prepared(_featured(spark, d), F.col("host"), CATEGORIES)
-    return rows.select("id", F.size("grams").alias("n_grams"), F.array_join("tokens", ",").alias("tokens"), "digits", "hyphens", "num_unique_ips", "num_asns", "age_days", "days_to_expiry", "created_isnull", "expires_isnull")
+    return rows.select("id", F.size("grams").cast("long").alias("n_grams"), F.array_join("tokens", ",").alias("tokens"), "digits", "hyphens", "num_unique_ips", "num_asns", "age_days", "days_to_expiry", "created_isnull", "expires_isnull")
 
 
 CATEGORIES = {"asn": "sample_asn", "isp": "sample_isp", "cc": "sample_country", "reg": "registrar", "status": "whois_status"}
