@@ -40,7 +40,7 @@ def outbox_replayed(spark: SparkSession, d: str) -> DataFrame:
     box.replay(lambda _: False)
     got = box.replay(lambda lines: lines.write.mode("append").parquet(f"{base}/sent") is None)
     sent = spark.read.schema("value string").parquet(f"{base}/sent").select(F.from_json("value", "kafka_offset long, id string, domain string").alias("e")).select("e.*")
-    return sent.withColumn("left_behind", F.lit(box.pending() + got["torn"] + got["kept"]))
+    return sent.withColumn("left_behind", F.lit(box.pending() + got["torn"] + got["kept"]).cast("long"))
 
 
 def published_labels(spark: SparkSession, d: str) -> DataFrame:
